@@ -161,21 +161,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     train = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang")
     ).where((F.coalesce(remainder(F.col("id"), 5), F.lit(1)) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    # one count a language; the model has an automaton for each of them anyway
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return None
+    n = F.element_at(F.create_map(*[F.lit(x) for item in sizes.items() for x in item]), F.col("lang"))
     share = F.xxhash64("id", F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     middle = F.greatest(F.lit(1), (F.length("text") - SAMPLE_CHARS) / 2).cast("int")
     # the frequent rows of small samples are all taken; ties go by the text
     picked = (
-        train.join(sizes, "lang")
-        .where(share * F.col("n") < SAMPLE_ROWS)
+        train.where(share * n < SAMPLE_ROWS)
         .select("lang", F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS)).alias("text"))
         .distinct()
         .orderBy("lang", "text")
     )
     samples: dict[str, list[str]] = {}
-    for row in picked.toLocalIterator():
+    for row in picked.collect():
         samples.setdefault(row["lang"], []).append(row["text"])
-    return Model(samples) if samples else None
+    return Model(samples)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -187,12 +187,12 @@ def trend_range_filter(spark, d):
 
 @register(
     "wide_pivot_first",
-    """SELECT l_orderkey, min_by(l_quantity, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) FILTER (l_returnflag='A') AS "A",
-min_by(l_quantity, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) FILTER (l_returnflag='N') AS "N", min_by(l_quantity, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) FILTER (l_returnflag='R') AS "R"
+    """SELECT l_orderkey, min_by(l_quantity, (l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) * 100 + l_quantity::BIGINT) FILTER (l_returnflag='A') AS "A",
+min_by(l_quantity, (l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) * 100 + l_quantity::BIGINT) FILTER (l_returnflag='N') AS "N", min_by(l_quantity, (l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey) * 100 + l_quantity::BIGINT) FILTER (l_returnflag='R') AS "R"
 FROM lineitem GROUP BY l_orderkey""",
 )
 def wide_pivot_first(spark, d):
-    l = read(spark, d, "lineitem").withColumn("ordinal", F.col("l_linenumber") * 10000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey"))
+    l = read(spark, d, "lineitem").withColumn("ordinal", (F.col("l_linenumber") * 10000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long"))
     return io.wide(l, ["l_orderkey"], "l_returnflag", "l_quantity", "ordinal", ["A", "N", "R"])
 
 

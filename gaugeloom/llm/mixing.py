@@ -45,6 +45,7 @@ def rake(cells: DataFrame, dims: dict[str, float], rounds: int = ROUNDS) -> Data
     Null is a value like others.  Where the margins cannot all be met (structural
     zeros), the weights after the last round stand, the last dim met exactly.
     """
+    cells = cut(cells)  # else the texts are read again for every margin
     for d, power in dims.items():
         w = Window.partitionBy(d)
         cells = cells.withColumn(f"__m_{d}", F.sum("tokens").over(w))

@@ -32,9 +32,9 @@ DEPTH = 5
 SLOT_BITS = 23
 SLOTS = 1 << SLOT_BITS
 #: A task hands over its counts when it holds so many.
-HELD = 1_500_000
+HELD = 700_000
 #: Characters of text that one block of the scoring join holds, about.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 8_000_000
 END_BYTE = 10
 END_KEY = -1
 U64 = np.uint64

@@ -40,7 +40,7 @@ def fold(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sym, keep
 
 
-def automaton(text: np.ndarray) -> np.ndarray:
+def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     """Transitions of the suffix automaton: (state, symbol) -> state, 0 if none.
 
     State 1 is the root, so that 0 can stand for no transition.
@@ -71,7 +71,7 @@ def automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.zeros((len(nxt), _SYMBOLS), np.int32)
+    out = np.zeros((len(nxt), symbols), np.int32)
     for s, d in enumerate(nxt):
         for c, t in d.items():
             out[s, c] = t
@@ -83,19 +83,18 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        tables, sizes = [], []
-        for lang in self.langs:
-            buf = np.frombuffer("\n".join(samples[lang]).encode(), np.uint8)
-            sym, keep = fold(buf)
-            tables.append(automaton(sym[keep]))
-            sizes.append(max(2, int(keep.sum())))
+        texts = []
         used = np.zeros(_SYMBOLS, bool)
         used[0] = True
-        for t in tables:
-            used |= t.any(0)
+        for lang in self.langs:
+            sym, keep = fold(np.frombuffer("\n".join(samples[lang]).encode(), np.uint8))
+            texts.append(sym[keep])
+            used[texts[-1]] = True
         self.column = np.full(_SYMBOLS, -1, np.int32)
         self.column[used] = np.arange(used.sum())
-        self.tables = [np.ascontiguousarray(t[:, used]) for t in tables]
+        # only the columns in use: the full alphabet would take three times the driver's memory
+        self.tables = [automaton(self.column[t], int(used.sum())) for t in texts]
+        sizes = [max(2, len(t)) for t in texts]
         self.weight = np.log2(sizes)
 
     def phrases(self, segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -30,8 +30,8 @@ from . import textkernel as K
 
 #: Iterations of one recursive query; words that need more go into another one.
 DEPTH = 48
-#: Distinct words that a Python worker remembers between batches.
-REMEMBERED = 800_000
+#: Distinct words that a task remembers between batches.
+REMEMBERED = 400_000
 
 #: Neighbours are taken in the rows' kept order: single-threaded DuckDB keeps the
 #: order of rows, and its joins probe with the state (both set in Codec).
@@ -83,12 +83,13 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 def _classes() -> np.ndarray:
     """0 other, 1 letter, 2 number, 3 white space, by code point."""
     out = np.zeros(0x110000, np.uint8)
-    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    text = "".join(map(chr, points))
-    at = np.array(points)
-    for k, name in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\p{White_Space}")):
-        for m in regex.finditer(f"{name}+", text):
-            out[at[m.start() : m.end()]] = k
+    for plane in range(0, 0x110000, 0x800):  # 0xD800 to 0xDFFF, the surrogates, are one such block
+        if plane == 0xD800:
+            continue
+        text = "".join(map(chr, range(plane, plane + 0x800)))
+        for k, name in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\p{White_Space}")):
+            for m in regex.finditer(f"{name}+", text):
+                out[plane + m.start() : plane + m.end()] = k
     return out
 
 
@@ -140,7 +141,7 @@ class Codec:
     """A task's encoder and decoder over one rank file."""
 
     def __init__(self, ranks: dict[bytes, int], merges: pa.Table):
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "preserve_insertion_order": True})
         self.con.execute("SET disabled_optimizers = 'join_order,build_side_probe_side'")
         self.con.register("given", merges)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -248,7 +249,7 @@ def _shipped(spark, path: str):
     return name, spark.sparkContext.broadcast((ranks, sink.getvalue().to_pybytes()))
 
 
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", digests: bool = False) -> DataFrame:
@@ -294,6 +295,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                     ],
                     names=[*kept, *added],
                 )
+        c.forget()
+        K.release()
 
     return docs.mapInArrow(run, schema)
 

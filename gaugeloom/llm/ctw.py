@@ -33,6 +33,8 @@ SLOT_BITS = 23
 SLOTS = 1 << SLOT_BITS
 #: A task hands over its counts when it holds so many.
 HELD = 700_000
+#: Bytes of text whose grams are counted or scored at once; equal grams fold.
+RUN = 4 << 20
 #: Characters of text that one block of the scoring join holds, about.
 BLOCK_CHARS = 8_000_000
 END_BYTE = 10
@@ -102,7 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = (_Counts(), _Counts())
     for batch in batches:
         buf, off = K.utf8(batch.column(0))
-        for _, _, part, o in K.runs(buf, off):
+        for _, _, part, o in K.runs(buf, off, RUN):
             words, _ = tokens(part, o)
             held[0].add(np.concatenate([words, np.full(len(o) - 1, END_KEY, np.int64)]))
             held[1].add(grams(part, o)[0].view(np.int64))
@@ -277,7 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         buf, off = K.utf8(left.column("text"))
         n_tok, n_known, base, score, size = [], [], [], [], []
         end = count[index.get_indexer([END_KEY])[0]]
-        for i, j, part, o in K.runs(buf, off, K.RUN):
+        for i, j, part, o in K.runs(buf, off, RUN):
             keys, first = tokens(part, o)
             c = count[index.get_indexer(keys)]
             doc = np.repeat(np.arange(j - i), np.diff(first))

@@ -9,6 +9,7 @@ sample, wins.  Only bytes of the text are inputs of a prediction.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import remainder
 SAMPLE_ROWS, SAMPLE_CHARS = 160, 600
 #: Texts are parsed in segments of so many bytes; a phrase ends with its segment.
 SEGMENT = 256
+#: Bytes of text whose segments are parsed side by side.
+RUN = 4 << 20
 
 #: a-z (A-Z folded), and every byte of a multi-byte character; all else is a gap.
 _FOLD = np.zeros(256, np.uint8)
@@ -40,11 +43,26 @@ def fold(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sym, keep
 
 
-def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton: (state, symbol) -> state, 0 if none.
+class Transitions(NamedTuple):
+    """(state, symbol) -> state, 0 if none; state 1 is the root.
 
-    State 1 is the root, so that 0 can stand for no transition.
+    Most states have one transition only: those are kept as a symbol and a
+    target, and only the others take a dense row.
     """
+
+    width: int
+    row: np.ndarray
+    dense: np.ndarray
+    symbol: np.ndarray
+    target: np.ndarray
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        to = self.dense[self.row[state] + c]
+        return to + self.target[state] * (self.symbol[state] == c)
+
+
+def automaton(text: np.ndarray, symbols: int) -> Transitions:
+    """The suffix automaton of a text."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -71,11 +89,19 @@ def automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.zeros((len(nxt), symbols), np.int32)
+    row, target = np.zeros(len(nxt), np.int32), np.zeros(len(nxt), np.int32)
+    symbol = np.full(len(nxt), -1, np.int16)
+    many = [s for s, d in enumerate(nxt) if len(d) > 1 or s == 1]
+    # row 0 is that of the states without a row
+    dense = np.zeros((len(many) + 1, symbols), np.int32)
+    for k, s in enumerate(many, 1):
+        row[s] = k * symbols
+        for c, t in nxt[s].items():
+            dense[k, c] = t
     for s, d in enumerate(nxt):
-        for c, t in d.items():
-            out[s, c] = t
-    return out
+        if len(d) == 1 and s != 1:
+            ((symbol[s], target[s]),) = d.items()
+    return Transitions(symbols, row, dense.reshape(-1), symbol, target)
 
 
 class Model:
@@ -92,7 +118,7 @@ class Model:
             used[texts[-1]] = True
         self.column = np.full(_SYMBOLS, -1, np.int32)
         self.column[used] = np.arange(used.sum())
-        # only the columns in use: the full alphabet would take three times the driver's memory
+        # only the columns in use: the full alphabet would take three times the memory
         self.tables = [automaton(self.column[t], int(used.sum())) for t in texts]
         sizes = [max(2, len(t)) for t in texts]
         self.weight = np.log2(sizes)
@@ -102,7 +128,6 @@ class Model:
         out = np.zeros((len(lengths), len(self.langs)), np.int64)
         live = np.searchsorted(-lengths, -np.arange(1, segments.shape[1] + 1), side="right")
         for k, table in enumerate(self.tables):
-            flat, width = table.reshape(-1), table.shape[1]
             state = np.ones(len(lengths), np.int64)
             count = out[:, k]
             for i, n in enumerate(live):
@@ -110,13 +135,13 @@ class Model:
                     break
                 c = segments[:n, i]
                 here = state[:n]
-                to = flat[here * width + np.maximum(c, 0)]
+                to = table.step(here, np.maximum(c, 0))
                 to[c < 0] = 0
                 miss = np.flatnonzero(to == 0)
                 if len(miss):
                     # the phrase ends before this symbol, which begins the next one
                     count[miss] += here[miss] != 1
-                    again = flat[width + np.maximum(c[miss], 0)]
+                    again = table.step(np.ones(len(miss), np.int64), np.maximum(c[miss], 0))
                     again[c[miss] < 0] = 0
                     count[miss] += again == 0  # a symbol the language never has is a phrase
                     to[miss] = np.where(again == 0, 1, again)
@@ -202,7 +227,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
             column = batch.column(at)
             letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             buf, off = K.utf8(column)
-            for i, j, part, o in K.runs(buf, off):
+            for i, j, part, o in K.runs(buf, off, RUN):
                 best, score = m.score(part, o)
                 ok = letters[i:j]
                 yield pa.RecordBatch.from_arrays(
@@ -213,5 +238,6 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
                     ],
                     names=[*kept, lang_col, score_col],
                 )
+        K.release()
 
     return docs.mapInArrow(run, f"{schema}, `{lang_col}` string, `{score_col}` double")

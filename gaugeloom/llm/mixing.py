@@ -50,16 +50,15 @@ def rake(cells: DataFrame, dims: dict[str, float], rounds: int = ROUNDS) -> Data
         w = Window.partitionBy(d)
         cells = cells.withColumn(f"__m_{d}", F.sum("tokens").over(w))
         raised = cells.groupBy(d, f"__m_{d}").count().select(F.col(d).alias("__d"), F.pow(f"__m_{d}", F.lit(power)).alias("__r"))
-        total = raised.agg(F.sum("__r").alias("__all"))
+        total = raised.agg(F.sum("__r")).scalar()
         cells = (
             cells.join(raised, F.col(d).eqNullSafe(F.col("__d")))
             .drop("__d", f"__m_{d}")
-            .crossJoin(F.broadcast(total))  # one row
-            .withColumn(f"__t_{d}", F.col("__r") / F.col("__all"))
-            .drop("__r", "__all")
+            .withColumn(f"__t_{d}", F.col("__r") / total)
+            .drop("__r")
         )
-    grand = cells.agg(F.sum("tokens").cast("double").alias("__grand"))
-    cells = cut(cells.crossJoin(F.broadcast(grand)).withColumn("weight", F.col("tokens").cast("double")))
+    grand = cells.agg(F.sum("tokens").cast("double"))
+    cells = cut(cells.withColumns({"__grand": grand.scalar(), "weight": F.col("tokens").cast("double")}))
     for i in range(rounds):
         for d in dims:
             now = F.sum("weight").over(Window.partitionBy(d))
@@ -101,12 +100,12 @@ def mix(
     cells = d.groupBy(*keys.values()).agg(F.sum("n_tokens").alias("tokens"))
     raked = rake(cells, {keys[k]: p for k, (_, p) in dims.items()}, rounds)
     raked = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
-    top = raked.agg(F.max("ratio").alias("__top"))
+    top = raked.agg(F.max("ratio")).scalar()
     rates = cut(
-        raked.crossJoin(F.broadcast(top)).select(
+        raked.select(
             *[F.col(k).alias(f"{k}_c") for k in keys.values()],
             F.coalesce("ratio", F.lit(0.0)).alias("__ratio"),
-            F.coalesce(F.least(F.lit(1.0), F.col("ratio") / F.col("__top")), F.lit(1.0)).alias("probability"),
+            F.coalesce(F.least(F.lit(1.0), F.col("ratio") / top), F.lit(1.0)).alias("probability"),
         )
     )
     if rates.count() <= BROADCAST_CELLS:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import small_batches
 
 #: Iterations of one recursive query; words that need more go into another one.
 DEPTH = 48
@@ -261,6 +262,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     added name is replaced.  Empty tables stay empty.  A decoded text that
     differs from the text raises, as no word may be taken for another.
     """
+    small_batches(docs.sparkSession)
     name, sent = _shipped(docs.sparkSession, path)
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [ids_col]
     kept = [c for c in docs.columns if c not in added]

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 8 MB at most, unless the session says otherwise.
+
+    A task holds several copies of a batch; Spark's default is 64 MB.
+    """
+    if ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(ARROW_BYTES, "8m")
+
+
 def remainder(id_col: Column, m: int) -> Column:
     """crc32 of the id as text modulo ``m``; null for a null id."""
     return F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % m

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import remainder, stored
+from .common import remainder, small_batches, stored
 
 DEPTH = 5
 SLOT_BITS = 23
@@ -247,6 +247,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     byte probabilities are 1/256 and the base score 0.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn(
         "held_out", F.coalesce(remainder(F.col("doc_id"), folds) == fold, F.lit(False))
     )

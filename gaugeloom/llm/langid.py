@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import remainder
+from .common import remainder, small_batches
 
 #: Bound of the training sample: so many rows a language, so many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS = 160, 600
@@ -215,6 +215,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
     kept = [c for c in docs.columns if c not in (lang_col, score_col)]
     if model is None:
         return docs.select(*[f"`{c}`" for c in kept], F.lit("und").alias(lang_col), F.lit(0.0).alias(score_col))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     passed = [docs.columns.index(c) for c in kept]
     at = docs.columns.index(text_col)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import cut, stored
+from .common import cut, small_batches, stored
 from .graph import components
 
 SIGNATURE = "id long, n_shingles long, d1 long, d2 long, bands array<long>"
@@ -200,6 +200,7 @@ def near_duplicates(
     ignored, whatever their names.
     """
     num, den = similarity
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(d.mapInArrow(sketch(permutations, rows, width), SIGNATURE))
     classes = cut(

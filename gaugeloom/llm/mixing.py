@@ -45,19 +45,14 @@ def rake(cells: DataFrame, dims: dict[str, float], rounds: int = ROUNDS) -> Data
     Null is a value like others.  Where the margins cannot all be met (structural
     zeros), the weights after the last round stand, the last dim met exactly.
     """
-    cells = cut(cells)  # else the texts are read again for every margin
+    base = cells = cut(cells)  # else the texts are read again for every margin
     for d, power in dims.items():
-        w = Window.partitionBy(d)
-        cells = cells.withColumn(f"__m_{d}", F.sum("tokens").over(w))
-        raised = cells.groupBy(d, f"__m_{d}").count().select(F.col(d).alias("__d"), F.pow(f"__m_{d}", F.lit(power)).alias("__r"))
-        total = raised.agg(F.sum("__r")).scalar()
+        margin = base.groupBy(F.col(d).alias("__d")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("__r"))
+        total = margin.agg(F.sum("__r")).scalar()
         cells = (
-            cells.join(raised, F.col(d).eqNullSafe(F.col("__d")))
-            .drop("__d", f"__m_{d}")
-            .withColumn(f"__t_{d}", F.col("__r") / total)
-            .drop("__r")
+            cells.join(margin, F.col(d).eqNullSafe(F.col("__d"))).withColumn(f"__t_{d}", F.col("__r") / total).drop("__d", "__r")
         )
-    grand = cells.agg(F.sum("tokens").cast("double"))
+    grand = base.agg(F.sum("tokens").cast("double"))
     cells = cut(cells.withColumns({"__grand": grand.scalar(), "weight": F.col("tokens").cast("double")}))
     for i in range(rounds):
         for d in dims:

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def _signature(e: DataFrame) -> tuple[int, int | None]:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) pairs of longs -> (id, component): smallest id reachable.
 
@@ -25,7 +29,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    state = None
+    state = _signature(e)  # stars, and no edges at all, stay as they are
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -45,10 +49,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         e = cut(small)
-        now = e.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
+        now = _signature(e)
         if state == now:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

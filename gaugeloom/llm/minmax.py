@@ -273,7 +273,9 @@ def near_duplicates(
         .groupBy("task")
         .applyInArrow(confirm_blocks(width, num, den), "a long, b long")
     )
-    final = components(links.unionByName(late)).withColumnRenamed("id", "rep")
+    # the first components are stars that hold all their links
+    known = first.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    final = components(known.unionByName(late)).withColumnRenamed("id", "rep")
     named = classes.select("d1", "d2", "rep").join(final, "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component_id")
     )

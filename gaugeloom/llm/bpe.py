@@ -229,15 +229,9 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(name: str, ranks, merges) -> Codec:
-    """The worker's codec for a vocabulary; kept between tasks."""
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(ranks, pa.ipc.open_stream(merges).read_all())
-    return _codecs[name]
+def codec(ranks, merges) -> Codec:
+    """A task's codec for a vocabulary; idle workers keep none."""
+    return Codec(ranks, pa.ipc.open_stream(merges).read_all())
 
 
 def _shipped(spark, path: str):
@@ -246,11 +240,10 @@ def _shipped(spark, path: str):
     merges = merge_table(ranks)
     with pa.ipc.new_stream(sink, merges.schema) as w:
         w.write_table(merges)
-    name = hashlib.sha1(repr(sorted(ranks.items())).encode()).hexdigest()
-    return name, spark.sparkContext.broadcast((ranks, sink.getvalue().to_pybytes()))
+    return spark.sparkContext.broadcast((ranks, sink.getvalue().to_pybytes()))
 
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", digests: bool = False) -> DataFrame:
@@ -263,7 +256,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     differs from the text raises, as no word may be taken for another.
     """
     small_batches(docs.sparkSession)
-    name, sent = _shipped(docs.sparkSession, path)
+    sent = _shipped(docs.sparkSession, path)
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [ids_col]
     kept = [c for c in docs.columns if c not in added]
     at = docs.columns.index(text_col)
@@ -272,7 +265,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f", `{ids_col}` array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(name, *sent.value)
+        c = codec(*sent.value)
         for batch in batches:
             buf, off = K.utf8(batch.column(at))
             for i, j, part, o in K.runs(buf, off, RUN_BYTES):
@@ -297,7 +290,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                     ],
                     names=[*kept, *added],
                 )
-        c.forget()
+        c.con.close()
+        del c
         K.release()
 
     return docs.mapInArrow(run, schema)
@@ -308,14 +302,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
 
     Null ids give null.  An id outside the vocabulary raises.
     """
-    name, sent = _shipped(encoded.sparkSession, path)
+    sent = _shipped(encoded.sparkSession, path)
     kept = [c for c in encoded.columns if c != bytes_col]
     at = encoded.columns.index(ids_col)
     passed = [encoded.columns.index(c) for c in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*[f"`{c}`" for c in kept]).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(name, *sent.value)
+        c = codec(*sent.value)
         top = max(c.ranks.values())
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
@@ -331,5 +325,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
                     [*(batch.column(k) for k in passed), pa.array([None if z else x for x, z in zip(out, null, strict=True)], pa.binary())],
                     names=[*kept, bytes_col],
                 )
+        c.con.close()
 
     return encoded.mapInArrow(run, f"{schema}, `{bytes_col}` binary")

@@ -25,7 +25,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 160, 600
 #: Texts are parsed in segments of so many bytes; a phrase ends with its segment.
 SEGMENT = 256
 #: Bytes of text whose segments are parsed side by side.
-RUN = 4 << 20
+RUN = 1 << 20
 
 #: a-z (A-Z folded), and every byte of a multi-byte character; all else is a gap.
 _FOLD = np.zeros(256, np.uint8)
@@ -163,8 +163,8 @@ class Model:
         length = np.minimum(SEGMENT, at[1:][doc] - begin)
         bits = np.zeros((len(sizes), len(self.langs)))
         order = np.argsort(-length, kind="stable")
-        for i in range(0, len(order), 1 << 14):
-            rows = order[i : i + (1 << 14)]
+        for i in range(0, len(order), 1 << 12):
+            rows = order[i : i + (1 << 12)]
             where = np.minimum(begin[rows, None] + np.arange(length[rows[0]]), len(column) - 1)
             np.add.at(bits, doc[rows], self.phrases(column[where], length[rows]))
         bits *= self.weight

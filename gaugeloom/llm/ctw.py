@@ -8,10 +8,11 @@ half and half.  A prediction follows the path from the empty context down and
 mixes the estimates of all depths with the resulting posterior weights.
 
 All counts and weights are computed by aggregations over the whole training
-corpus.  Scoring tasks get a table of ``SLOTS`` hashed slots of 4 bytes, a size
-that the corpus does not change; where several contexts share a slot the one
-with most counts holds it, and the others leave their prediction to the shorter
-contexts of their path.
+corpus.  The nodes deeper than ``SHARED`` are worked out in shards of grams that
+have their latest ``SHARED`` bytes in common, the others by joins from each depth
+to the next.  No node is left out: every distinct gram of the corpus gets its
+score in a table, and a block of texts is joined with the words and grams that
+it has.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,16 @@ from . import textkernel as K
 from .common import remainder, small_batches, stored
 
 DEPTH = 5
-SLOT_BITS = 23
-SLOTS = 1 << SLOT_BITS
 #: A task hands over its counts when it holds so many.
 HELD = 700_000
-#: Bytes of text whose grams are counted or scored at once; equal grams fold.
+#: Bytes of text whose grams are counted at once; equal grams fold.
 RUN = 4 << 20
 #: Characters of text that one block of the scoring join holds, about.
 BLOCK_CHARS = 8_000_000
+#: Depth down to which nodes are rows of a table; deeper ones stay in their shard.
+SHARED = 3
+#: Distinct grams of a shard, about.
+SHARD_GRAMS = 40_000
 END_BYTE = 10
 END_KEY = -1
 U64 = np.uint64
@@ -86,9 +90,9 @@ class _Counts:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, times: int = 1) -> None:
         codes, distinct = pd.factorize(keys)
-        self.parts.append((distinct, np.bincount(codes, minlength=len(distinct))))
+        self.parts.append((distinct, times * np.bincount(codes, minlength=len(distinct))))
         self.size += len(distinct)
 
     def take(self, kind: int) -> pa.RecordBatch:
@@ -99,55 +103,98 @@ class _Counts:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind, np.int32)), pa.array(distinct), pa.array(n)], names=["kind", "key", "n"])
 
 
+class _Distinct:
+    """Distinct keys of what was added; equal keys of different runs fold."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        self.keys = pd.unique(np.concatenate([self.keys, pd.unique(keys)]))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (kind, key, n): 0 words and ends, 1 grams."""
+    """(held_out, text) -> (kind, key, n): 0 words and ends, 1 grams.
+
+    Held-out texts only name their grams, 0 times.
+    """
     held = (_Counts(), _Counts())
     for batch in batches:
-        buf, off = K.utf8(batch.column(0))
-        for _, _, part, o in K.runs(buf, off, RUN):
-            words, _ = tokens(part, o)
-            held[0].add(np.concatenate([words, np.full(len(o) - 1, END_KEY, np.int64)]))
-            held[1].add(grams(part, o)[0].view(np.int64))
-            for kind, c in enumerate(held):
-                if c.size > HELD:
-                    yield c.take(kind)
+        for out in (False, True):
+            buf, off = K.utf8(batch.column(1).filter(pc.equal(batch.column(0), out)))
+            for _, _, part, o in K.runs(buf, off, RUN):
+                if not out:
+                    words, _ = tokens(part, o)
+                    held[0].add(np.concatenate([words, np.full(len(o) - 1, END_KEY, np.int64)]))
+                held[1].add(grams(part, o)[0].view(np.int64), 0 if out else 1)
+                for kind, c in enumerate(held):
+                    if c.size > HELD:
+                        yield c.take(kind)
     for kind, c in enumerate(held):
         if c.parts:
             yield c.take(kind)
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x, log):
     """ln Gamma for x >= 1/2: Stirling's series at x + 6."""
     y = x + 6.0
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y)
-    return series - F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+    series = (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y)
+    return series - log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+
 
+def _estimate(n0, n1, log=F.log, when=lambda seen, x: F.when(seen, x).otherwise(0.0)):
+    """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones; Columns or arrays."""
+    known = _log_gamma(n0 + 0.5, log) + _log_gamma(n1 + 0.5, log) - _log_gamma(n0 + n1 + 1.0, log) - math.log(math.pi)
+    return when(n0 + n1 > 0, known)
 
-def _estimate(n0: Column, n1: Column) -> Column:
-    """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
+def _shorter(at: np.ndarray, depth: int) -> np.ndarray:
+    """Context and node in one number, with the context's latest ``depth`` bytes only."""
+    return at & ((1 << (8 * depth + 8)) - 1)
 
-def context_tree(counts: DataFrame) -> DataFrame:
-    """Gram counts (key, n) -> nodes (depth, ctx, node, n0, n1, stop).
+
+def _shard(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Grams and counts -> each gram's node for its 8 bits, and the nodes by depth.
+
+    A depth, the deepest first, has (at, n0, n1, lw, stop, up): ``up`` is the
+    place of each node's shorter context in the next one.
+    """
+    sym = key & 255
+    at = np.concatenate([key & ~255 | 1 << k | sym >> (8 - k) for k in range(8)])
+    times = np.tile(n.astype(np.float64), 8)
+    ones = np.concatenate([sym >> (7 - k) & 1 for k in range(8)]) * times
+    at, leaf = np.unique(at, return_inverse=True)
+    n0, n1 = np.bincount(leaf, times - ones), np.bincount(leaf, ones)
+    seen_only = lambda seen, x: np.where(seen, x, 0.0)
+    lw, stop, levels = _estimate(n0, n1, np.log, seen_only), np.ones(len(at)), []
+    for d in range(DEPTH - 1, SHARED - 1, -1):
+        shorter, up = np.unique(_shorter(at, d), return_inverse=True)
+        levels.append((at, n0, n1, lw, stop, up))
+        at, n0, n1, below = shorter, np.bincount(up, n0), np.bincount(up, n1), np.bincount(up, lw)
+        own = _estimate(n0, n1, np.log, seen_only)
+        lw = np.logaddexp(own, below) - math.log(2)
+        stop = np.exp(own - lw - math.log(2))
+    levels.append((at, n0, n1, lw, stop, None))
+    return leaf, levels
+
+
+def _shared_nodes(t: pa.Table) -> pa.Table:
+    at, n0, n1, lw, stop, _ = _shard(t.column("key").to_numpy(), t.column("n").to_numpy())[1][-1]
+    return pa.table({"ctx": pa.array(at >> 8), "node": pa.array((at & 255).astype(np.int32)), "n0": pa.array(n0), "n1": pa.array(n1), "lw": pa.array(lw), "stop": pa.array(stop)})
+
+
+def context_tree(sharded: DataFrame) -> list[DataFrame]:
+    """Gram counts (shard, key, n) -> for each depth up to SHARED its nodes (ctx, node, n0, n1, stop).
 
     ``stop`` is the posterior weight of the node's own estimate against its
-    children's.  Each depth is one aggregation of the depth below.
+    children's.  Each depth is one aggregation of the depth below.  Grams that
+    count 0 times give nodes of no weight.
     """
-    sym = F.col("key").bitwiseAND(F.lit(255)).cast("int")
-    rows = counts.select(F.shiftright("key", 8).alias("ctx"), sym.alias("s"), F.col("n").cast("double").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-    bit = F.expr("shiftright(s, 7 - k) & 1")
-    level = (
-        rows.select("ctx", F.expr("shiftleft(1, k) | shiftright(s, 8 - k)").cast("int").alias("node"), bit.alias("b"), "n")
-        .groupBy("ctx", "node")
-        .agg(F.sum(F.when(F.col("b") == 0, F.col("n")).otherwise(0.0)).alias("n0"), F.sum(F.when(F.col("b") == 1, F.col("n")).otherwise(0.0)).alias("n1"))
-        .withColumn("lw", _estimate(F.col("n0"), F.col("n1")))
-        .withColumn("stop", F.lit(1.0))
-    )
+    level = sharded.groupBy("shard").applyInArrow(_shared_nodes, "ctx long, node int, n0 double, n1 double, lw double, stop double")
     levels = []
-    for d in range(DEPTH, -1, -1):
+    for d in range(SHARED, -1, -1):
         level = stored(level, f"ctw-{d}")
-        levels.append(level.select(F.lit(d).alias("depth"), "ctx", "node", "n0", "n1", "stop"))
+        levels.append(level.select("ctx", "node", "n0", "n1", "stop"))
         if d:
             up = (
                 level.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1)).alias("ctx"), "node")
@@ -157,83 +204,67 @@ def context_tree(counts: DataFrame) -> DataFrame:
             top = F.greatest("own", "below")
             up = up.withColumn("lw", top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("below") - top)) - math.log(2))
             level = up.withColumn("stop", F.exp(F.col("own") - F.col("lw") - math.log(2))).select("ctx", "node", "n0", "n1", "lw", "stop")
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def _slot(depth: int, ctx: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = K.mix((ctx << U64(8) | node.astype(U64)) * U64(0x9E3779B97F4A7C15) + U64(depth + 1))
-    return (h >> U64(64 - SLOT_BITS)).astype(np.int64), (h & U64(127)).astype(np.uint8) + np.uint8(1)
-
-
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes -> (slot, total, packed): tag, stop and estimate in one int."""
-    for b in batches:
-        depth, ctx, node = (b.column(i).to_numpy() for i in range(3))
-        n0, n1, stop = (b.column(i).to_numpy() for i in range(3, 6))
-        slot, tag = np.zeros(len(ctx), np.int64), np.zeros(len(ctx), np.uint8)
-        for d in np.unique(depth):
-            at = depth == d
-            slot[at], tag[at] = _slot(int(d), ctx[at].astype(U64), node[at])
-        p = np.clip(np.rint((n1 + 0.5) / (n0 + n1 + 1) * 65536), 1, 65535).astype(np.int64)
-        packed = tag.astype(np.int64) << 24 | np.rint(stop * 255).astype(np.int64) << 16 | p
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n0 + n1), pa.array(packed)], names=["slot", "total", "packed"])
-
-
-def _pack(t: pa.Table) -> pa.Table:
-    slot = t.column("slot").to_numpy()
-    order = np.argsort(slot)
-    return pa.table(
-        {
-            "slots": pa.array([slot[order].astype(np.int32).tobytes()], pa.binary()),
-            "cells": pa.array([t.column("packed").to_numpy()[order].astype(np.uint32).tobytes()], pa.binary()),
-        }
-    )
+    return levels[::-1]
 
 
-def model(tree: DataFrame) -> np.ndarray:
-    """The hashed table: per slot tag (0: empty), stop in 1/255, p(1) in 1/65536."""
-    owned = (
-        tree.select("depth", "ctx", "node", "n0", "n1", "stop")
-        .mapInArrow(_place, "slot long, total double, packed long")
-        .groupBy("slot")
-        .agg(F.max(F.struct("total", "packed")).alias("m"))
-        .select("slot", F.col("m.packed").alias("packed"))
-    )
-    packed = owned.groupBy(F.shiftright("slot", SLOT_BITS - 8).alias("g")).applyInArrow(_pack, "slots binary, cells binary")
-    out = np.zeros(SLOTS, np.uint32)
-    for row in packed.collect():  # at most 8 bytes a slot
-        out[np.frombuffer(row["slots"], np.int32)] = np.frombuffer(row["cells"], np.uint32)
-    return out
-
-
-def gram_scores(codes: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """log10 probability of each gram's byte after its context."""
-    out = np.zeros(len(codes))
-    ctx, sym = codes >> U64(8), (codes & U64(255)).astype(np.int64)
-    masked = [ctx & U64((1 << (8 * d)) - 1) for d in range(DEPTH + 1)]
+def predictions(levels: list[DataFrame]) -> DataFrame:
+    """The tree -> (ctx, node, one, left, last) of the nodes at depth SHARED.
+
+    ``one`` gathers the estimates of the path down to a node, ``left`` is the
+    weight that its deeper contexts have, and ``last`` the last estimate of a
+    context that training saw.
+    """
+    path = None
+    for d, level in enumerate(levels):
+        own = F.when(F.col("n0") + F.col("n1") > 0, (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1))
+        here = level.select("ctx", "node", own.alias("own"), F.least("stop", F.lit(1.0)).alias("stop"))
+        if path is None:
+            here = here.withColumns({"one": F.lit(0.0), "left": F.lit(1.0), "last": F.lit(0.5)})
+        else:
+            path = path.withColumnRenamed("ctx", "shorter")
+            here = here.withColumn("shorter", F.col("ctx").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1))).join(path, ["shorter", "node"])
+        seen = F.col("own").isNotNull()
+        path = here.select(
+            "ctx",
+            "node",
+            F.when(seen, F.col("one") + F.col("left") * F.col("stop") * F.col("own")).otherwise(F.col("one")).alias("one"),
+            F.when(seen, F.col("left") * (1 - F.col("stop"))).otherwise(F.col("left")).alias("left"),
+            F.coalesce("own", "last").alias("last"),
+        )
+    return path
+
+
+def _gram_scores(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A shard's grams (key, n) and paths -> (key, value): log10 probability of the byte."""
+    key = left.column("key").to_numpy()
+    leaf, levels = _shard(key, left.column("n").to_numpy())
+    at = right.column("at").to_numpy()
+    order = np.argsort(at)
+    place = order[np.searchsorted(at, levels[-1][0], sorter=order)]
+    one, rest, last = (right.column(c).to_numpy()[place] for c in ("one", "left", "last"))
+    for _, n0, n1, _, stop, up in levels[-2::-1]:
+        one, rest, last = one[up], rest[up], last[up]
+        seen, own, stop = n0 + n1 > 0, (n1 + 0.5) / (n0 + n1 + 1), np.minimum(stop, 1.0)
+        one, rest, last = np.where(seen, one + rest * stop * own, one), np.where(seen, rest * (1 - stop), rest), np.where(seen, own, last)
+    p = (one + rest * last)[leaf].reshape(8, -1)
+    sym, value = key & 255, np.zeros(len(key))
     for k in range(8):
-        node = (1 << k) | (sym >> (8 - k))
-        one = (sym >> (7 - k)) & 1
-        p1, left, last = np.zeros(len(codes)), np.ones(len(codes)), np.full(len(codes), 0.5)
-        alive = np.arange(len(codes))
-        for d in range(DEPTH + 1):
-            slot, tag = _slot(d, masked[d][alive], node[alive])
-            cell = cells[slot]
-            seen = (cell >> 24).astype(np.uint8) == tag
-            alive, cell = alive[seen], cell[seen]
-            p = (cell & 0xFFFF) / 65536.0
-            stop = ((cell >> 16) & 0xFF) / 255.0 if d < DEPTH else 1.0
-            p1[alive] += left[alive] * stop * p
-            left[alive] *= 1 - stop
-            last[alive] = p
-            if not len(alive):
-                break
-        p1 += left * last
-        out += np.log10(np.where(one == 1, p1, 1 - p1))
-    return out
+        value += np.log10(np.where(sym >> (7 - k) & 1, p[k], 1 - p[k]))
+    return pa.table({"key": pa.array(key), "value": pa.array(value)})
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """Gram counts (key, n) -> (key, value): log10 probability of each gram's byte after its context."""
+    shards = max(1, -(-counts.count() // SHARD_GRAMS))
+
+    def dealt(ctx: Column) -> Column:
+        return F.pmod(F.xxhash64(ctx), F.lit(shards)).cast("int").alias("shard")
+
+    sharded = counts.select(dealt(F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * SHARED)) - 1))), "key", "n")
+    paths = predictions(context_tree(sharded)).select(
+        dealt(F.col("ctx")), F.shiftleft("ctx", 8).bitwiseOR(F.col("node").cast("long")).alias("at"), "one", "left", "last"
+    )
+    return sharded.groupBy("shard").cogroup(paths.groupBy("shard")).applyInArrow(_gram_scores, "key long, value double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
@@ -252,35 +283,45 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         "held_out", F.coalesce(remainder(F.col("doc_id"), folds) == fold, F.lit(False))
     )
     counted = stored(
-        d.where("NOT held_out").select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")),
+        d.select("held_out", "text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")),
         "ctw-counts",
     )
     words = counted.where("kind = 0").select("key", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    sent = spark.sparkContext.broadcast(model(context_tree(counted.where("kind = 1").select("key", "n"))))
+    scored = gram_scores(counted.where("kind = 1").select("key", "n"))
+    # words with their counts, grams with their scores
+    terms = words.select(F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("value")).unionByName(
+        scored.select(F.lit(1).alias("kind"), "key", "value")
+    )
     floor = math.log10(total + 0.5 * (distinct + 1))
     chars = d.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
     dealt = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def vocabulary(t: pa.Table) -> pa.Table:
-        found = [np.array([END_KEY], np.int64)]
+        found = (_Distinct(), _Distinct())
+        found[0].add(np.array([END_KEY], np.int64))
         buf, off = K.utf8(t.column("text"))
         for _, _, part, o in K.runs(buf, off):
-            found.append(pd.unique(tokens(part, o)[0]))
-        keys = pd.unique(np.concatenate(found))
-        return pa.table({"block": pa.array(np.full(len(keys), t.column("block")[0].as_py(), np.int32)), "key": pa.array(keys)})
+            found[0].add(tokens(part, o)[0])
+            found[1].add(grams(part, o)[0].view(np.int64))
+        keys = [np.sort(f.keys) for f in found]  # in order they pack better
+        kind = np.repeat(np.arange(2, dtype=np.int32), [len(k) for k in keys])
+        block = np.full(len(kind), t.column("block")[0].as_py(), np.int32)
+        return pa.table({"block": pa.array(block), "kind": pa.array(kind), "key": pa.array(np.concatenate(keys))})
 
-    known = dealt.groupBy("block").applyInArrow(vocabulary, "block int, key long").join(words, "key").select("block", "key", "c")
+    known = dealt.groupBy("block").applyInArrow(vocabulary, "block int, kind int, key long").join(terms, ["kind", "key"]).select("block", "kind", "key", "value")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        cells = sent.value
-        index = pd.Index(right.column("key").to_numpy())
-        count = np.append(right.column("c").to_numpy(), 0)
+        is_gram = right.column("kind").to_numpy() == 1
+        key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        index, count = pd.Index(key[~is_gram]), np.append(value[~is_gram], 0)
+        order = np.argsort(key[is_gram])
+        gram_at, gram_value = key[is_gram][order], value[is_gram][order]
         buf, off = K.utf8(left.column("text"))
         n_tok, n_known, base, score, size = [], [], [], [], []
         end = count[index.get_indexer([END_KEY])[0]]
-        for i, j, part, o in K.runs(buf, off, RUN):
+        for i, j, part, o in K.runs(buf, off):
             keys, first = tokens(part, o)
             c = count[index.get_indexer(keys)]
             doc = np.repeat(np.arange(j - i), np.diff(first))
@@ -288,10 +329,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             n_known.append(np.bincount(doc, c > 0, j - i).astype(np.int64) + int(end > 0))
             base.append(np.bincount(doc, np.log10(c + 0.5), j - i) + math.log10(end + 0.5) - n_tok[-1] * floor)
             code, at = grams(part, o)
-            which, unique = pd.factorize(code)
-            value = gram_scores(unique, cells)[which]
+            which, unique = pd.factorize(code.view(np.int64))
+            each = gram_value[np.searchsorted(gram_at, unique)][which]
             size.append(np.diff(at))
-            score.append(np.bincount(np.repeat(np.arange(j - i), size[-1]), value, j - i))
+            score.append(np.bincount(np.repeat(np.arange(j - i), size[-1]), each, j - i))
         n_tok, n_known, base, score, size = (np.concatenate(x) if x else np.zeros(0) for x in (n_tok, n_known, base, score, size))
         return pa.table(
             {

@@ -347,6 +347,18 @@ def test_ctw(spark):
     assert ctw.score(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_ctw_keeps_every_node(spark):
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!?"
+    texts = 2 * ["".join(rng.choice(letters) for _ in range(400)) for _ in range(60)]  # repeated, so deep contexts tell much
+    got = {r["doc_id"]: r for r in ctw.score(docs_of(spark, texts)).collect()}
+    grams = [ctw.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist() for t in texts]
+    some = [i for i in got if got[i]["held_out"]][:5] + [i for i in got if not got[i]["held_out"]][:5]
+    each = iter(brute_ctw([g for i in got if not got[i]["held_out"] for g in grams[i]], [g for i in some for g in grams[i]]))
+    for i in some:
+        assert got[i]["score"] == pytest.approx(sum(next(each) for _ in grams[i]), rel=1e-6)
+
+
 def test_ctw_beats_base_on_held_out(spark):
     # with 1,000 documents the word counts are still 2 % ahead; the byte contexts pass them with more text
     out = Q.op4_ctw_scoring(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()

@@ -2,8 +2,8 @@
 
 Token totals by (source, language, topic) are raked until they meet the target
 share of every source, language and topic; a document's probability is its
-cell's calibrated weight over its tokens, scaled so that the largest is 1.
-DataFrame functions only.  The raked table has a row for each cell, not for each
+cell's calibrated weight over its tokens, times a factor by which the expected
+sampled tokens meet a budget, and 1 at most.  DataFrame functions only.  The raked table has a row for each cell, not for each
 document.
 """
 
@@ -17,6 +17,8 @@ from .common import cut
 #: A share is its tokens to this power, normalised: 1 keeps it, 0 makes all equal.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 ROUNDS = 12
+#: Share of all tokens that the sample is expected to hold.
+BUDGET = 2 / 3
 #: Cells up to this number are broadcast (some 100 bytes each); more are joined.
 BROADCAST_CELLS = 20_000
 
@@ -65,6 +67,27 @@ def rake(cells: DataFrame, dims: dict[str, float], rounds: int = ROUNDS) -> Data
     return cells.drop("__grand", *[f"__t_{d}" for d in dims])
 
 
+def scale(raked: DataFrame, budget: float) -> float:
+    """The factor f with sum(tokens * min(1, f * ratio)) = ``budget`` * sum(tokens); infinite if all must stay.
+
+    Cells that reach 1 leave their share of the budget to the others, until no
+    more cells reach it; each round is one row.
+    """
+    held = raked.where("ratio > 0")
+    wanted = budget * (held.agg(F.sum("tokens").cast("double")).first()[0] or 0.0)
+    factor, full = 0.0, -1
+    while True:
+        whole = F.col("ratio") * factor >= 1
+        n, tokens, rest = held.agg(
+            F.count_if(whole), F.sum(F.when(whole, F.col("tokens")).otherwise(0)).cast("double"), F.sum(F.when(whole, 0.0).otherwise(F.col("weight")))
+        ).first()
+        if n == full:
+            return factor
+        if not rest:
+            return float("inf")
+        factor, full = max(factor, (wanted - tokens) / rest), n
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -72,12 +95,14 @@ def mix(
     dims: dict[str, tuple[Column, float]] | None = None,
     seed: int = 8,
     rounds: int = ROUNDS,
+    budget: float = BUDGET,
 ) -> DataFrame:
     """All rows and columns, with n_tokens, weight, probability and sampled.
 
     ``dims`` maps a name to (column, power); by default source, lang and topic.
     ``weight`` is the calibrated number of tokens that the document stands for.
-    A document is sampled if a hash of its id falls under its probability, so
+    Sampled documents are expected to hold the share ``budget`` of all tokens,
+    however small the rarest cell is.  A document is sampled if a hash of its id falls under its probability, so
     rows that repeat an id share their fate.  Null sources, languages and topics
     are values of their own.  Documents without tokens have weight 0 and the
     probability of their cell (1 if the whole cell has no tokens).  Columns of
@@ -94,13 +119,13 @@ def mix(
     )
     cells = d.groupBy(*keys.values()).agg(F.sum("n_tokens").alias("tokens"))
     raked = rake(cells, {keys[k]: p for k, (_, p) in dims.items()}, rounds)
-    raked = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
-    top = raked.agg(F.max("ratio")).scalar()
+    raked = cut(raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))))
+    factor = scale(raked, budget)
     rates = cut(
         raked.select(
             *[F.col(k).alias(f"{k}_c") for k in keys.values()],
             F.coalesce("ratio", F.lit(0.0)).alias("__ratio"),
-            F.coalesce(F.least(F.lit(1.0), F.col("ratio") / top), F.lit(1.0)).alias("probability"),
+            F.coalesce(F.least(F.lit(1.0), F.col("ratio") * factor), F.lit(1.0)).alias("probability"),
         )
     )
     if rates.count() <= BROADCAST_CELLS:

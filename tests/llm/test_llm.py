@@ -271,6 +271,17 @@ def test_mix(spark):
     assert mixing.mix(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_mix_keeps_its_budget_beside_a_rare_source(spark, rare):
+    rows = [(i, "w " * (5 + i % 90), "ab"[i % 3 == 0], "xy"[i % 7 == 0]) for i in range(1500)] + [(1500, "one two", "rare", "x")] * rare
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    total = sum(r["n_tokens"] for r in out)
+    assert sum(r["n_tokens"] * r["probability"] for r in out) == pytest.approx(total * mixing.BUDGET, rel=1e-9)
+    assert 0.55 * total < sum(r["n_tokens"] for r in out if r["sampled"]) < 0.78 * total
+    by = {(r["probability"] < 1, round(r["probability"] * r["n_tokens"] / r["weight"], 9)) for r in out}
+    assert len([x for x in by if x[0]]) == 1  # below 1 all have the same factor
+
+
 def brute_ctw(train, grams):
     """Counts and weights by dictionaries, exact."""
     n = Counter()

@@ -25,9 +25,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    kept = minmax.near_duplicates(docs).where("kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Keeps one row of each group of near copies, with the smallest id (null last).
+
+    Every row has a key of its own, so rows that repeat an id or have none are
+    grouped by their texts too.  Texts without words are near to nothing; of
+    rows with the same id and such a text one stays.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = minmax.near_duplicates(rows, id_col="__row").select(F.col("id").alias("__row"), "n_shingles", "component_id")
+    named = rows.select("__row", "doc_id", F.md5("text").alias("digest")).join(groups, "__row")
+    empty = F.col("n_shingles") == 0
+    group = [
+        F.when(~empty, F.col("component_id")).alias("g"),
+        F.when(empty, F.struct("doc_id", "digest")).alias("h"),
+    ]
+    kept = named.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("m")).select("m.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

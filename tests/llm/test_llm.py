@@ -422,3 +422,14 @@ def test_pipeline(spark):
     last = P.STAGES[-1][1](spark, seen, DATA)
     assert last.count() == seen.count()
     assert seen.select("doc_id").subtract(docs.select("doc_id")).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as P
+
+    text, other = "a b c d e f g h i j", "quite another text of several words here"
+    rows = [(1, text), (1, text), (1, other), (2, text), (None, other), (None, "only here and nowhere else at all"), (None, "only here and nowhere else at all"), (3, ""), (3, ""), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(*r, "s", "en") for r in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, DATA).collect()), key=str)
+    want = [(1, text), (1, other), (None, "only here and nowhere else at all"), (3, ""), (4, ""), (4, None)]
+    assert got == sorted(want, key=str)

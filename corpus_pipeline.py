@@ -12,9 +12,9 @@ from gaugeloom.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without an identifiable language (und); fills a null lang."""
+    """Drops the documents without an identifiable language (und); lang becomes the predicted one."""
     named = langid.identify(docs, langid.learn(docs), lang_col="__lang", score_col="__score")
-    lang = F.coalesce("lang", "__lang").alias("lang")
+    lang = F.col("__lang").alias("lang")
     return named.where("__lang <> 'und'").select(*[lang if c == "lang" else F.col(c) for c in docs.columns])
 
 

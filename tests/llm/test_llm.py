@@ -433,3 +433,15 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, DATA).collect()), key=str)
     want = [(1, text), (1, other), (None, "only here and nowhere else at all"), (3, ""), (4, ""), (4, None)]
     assert got == sorted(want, key=str)
+
+
+def test_pipeline_writes_the_predicted_language(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = "crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 = 0"  # the model does not learn from these labels
+    taken = docs.where(f"lang = 'en' AND n_chars > 500 AND {held}").orderBy("doc_id").limit(5).select("doc_id").collect()
+    wrong = [r["doc_id"] for r in taken]
+    marked = docs.withColumn("lang", F.when(F.col("doc_id").isin(wrong), "fr").otherwise(F.col("lang")))
+    got = P.language_id(spark, marked, DATA).where(F.col("doc_id").isin(wrong)).collect()
+    assert len(got) >= 5 and all(r["lang"] == "en" for r in got)

@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes boilerplate lines from the texts; n_chars follows."""
-    out = line_dedup.drop_boilerplate(docs).select(*docs.columns)
+    """Removes boilerplate lines of any number of words from the texts; n_chars follows."""
+    out = line_dedup.drop_boilerplate(docs, min_words=1).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -445,3 +445,13 @@ def test_pipeline_writes_the_predicted_language(spark):
     marked = docs.withColumn("lang", F.when(F.col("doc_id").isin(wrong), "fr").otherwise(F.col("lang")))
     got = P.language_id(spark, marked, DATA).where(F.col("doc_id").isin(wrong)).collect()
     assert len(got) >= 5 and all(r["lang"] == "en" for r in got)
+
+
+def test_pipeline_drops_short_boilerplate(spark):
+    import corpus_pipeline as P
+
+    lines = ["All rights reserved.", "版权所有", "Top\tHome"]
+    texts = [f"Own line {i} of a text.\n{lines[i % 3]}\nEnd {i}." for i in range(36)]
+    docs = docs_of(spark, texts).withColumn("n_chars", F.length("text"))
+    got = {r["doc_id"]: r["text"] for r in P.line_dedup_stage(spark, docs, DATA).collect()}
+    assert got == {i: f"Own line {i} of a text.\nEnd {i}." for i in range(36)}

@@ -19,18 +19,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes boilerplate lines of any number of words from the texts; n_chars follows."""
-    out = line_dedup.drop_boilerplate(docs, min_words=1).select(*docs.columns)
+    """Removes boilerplate lines from the texts; n_chars follows."""
+    out = line_dedup.drop_boilerplate(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies, with the smallest id (null last).
 
-    Every row has a key of its own, so rows that repeat an id or have none are
-    grouped by their texts too.  Texts without words are near to nothing; of
+    Where ids repeat or are null every row gets a key of its own, so such rows
+    are grouped by their texts too.  Texts without words are near to nothing; of
     rows with the same id and such a text one stays.
     """
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
+        gone = stored(minmax.near_duplicates(docs).where("NOT kept").select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id")), "pipeline-copies")
+        # only rows that may be copies are shuffled
+        return minmax.marked(gone, docs, "doc_id", absent=True).unionByName(minmax.marked(gone, docs, "doc_id").join(gone, "doc_id", "left_anti"))
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
     groups = minmax.near_duplicates(rows, id_col="__row").select(F.col("id").alias("__row"), "n_shingles", "component_id")
     named = rows.select("__row", "doc_id", F.md5("text").alias("digest")).join(groups, "__row")

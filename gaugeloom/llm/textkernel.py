@@ -14,38 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 RUN = 1 << 20
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)
-
-
-def _inverse(x: int) -> int:
-    y = x
-    for _ in range(6):
-        y = (y * (2 - x * y)) & (2**64 - 1)
-    return y
-
-
-_BASE_INV = U64(_inverse(int(_BASE)))
-_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64)
+_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64) | U64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_TABLE_LOWER = _TABLE[LOWER]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the hash base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, RUN + 1)
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
 
 
 def release() -> None:
@@ -113,12 +93,32 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, stops, np.searchsorted(off, starts, side="right") - 1
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans.
+
+    Eight bytes a step are mixed into the state before the next step, so unlike
+    a polynomial modulo 2**64 no family of texts collides by its structure.
+    """
+    size = stops - starts
+    state = mix(size.astype(U64) + _TABLE[0])
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        chunk = eight[at] & _MASKS[np.minimum(left, 8)]
+        state[live] = mix((state[live] ^ chunk) * _TABLE[1] + _TABLE[2])
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        state[i] = xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]].tobytes())
+    return state
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, A-Z taken as a-z."""
-    power, inverse = powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_TABLE_LOWER[buf] * power[: len(buf)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(U64))
+    return span_hashes(LOWER[buf], starts, stops)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.ndarray]:

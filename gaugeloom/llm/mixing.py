@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 #: A share is its tokens to this power, normalised: 1 keeps it, 0 makes all equal.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-ROUNDS = 12
+#: Rounds at most, and the relative miss of a margin that ends them.
+ROUNDS, TOLERANCE = 200, 1e-6
 #: Share of all tokens that the sample is expected to hold.
 BUDGET = 2 / 3
 #: Cells up to this number are broadcast (some 100 bytes each); more are joined.
@@ -40,14 +41,30 @@ def topic(text: Column) -> Column:
     )
 
 
-def rake(cells: DataFrame, dims: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
-    """(dims..., tokens) -> with weight, raked to the target shares of each dim.
+def _residual(cells: DataFrame, dims: dict[str, float]) -> float:
+    """The largest relative miss of a margin's target."""
+    worst = 0.0
+    for d in dims:
+        margin = cells.groupBy(d).agg(F.sum("weight").alias("w"), (F.first(f"__t_{d}") * F.first("__grand")).alias("aim")).where("aim > 0")
+        worst = max(worst, margin.agg(F.max(F.abs(F.col("w") / F.col("aim") - 1))).first()[0] or 0.0)
+    return worst
+
+
+def rake(
+    cells: DataFrame, dims: dict[str, float], rounds: int = ROUNDS, tolerance: float = TOLERANCE, at_once: int = BROADCAST_CELLS
+) -> tuple[DataFrame, float]:
+    """(dims..., tokens) -> with weight, raked to the target shares of each dim; and the residual.
 
     The total weight is the total of tokens.  A margin without tokens stays 0.
-    Null is a value like others.  Where the margins cannot all be met (structural
-    zeros), the weights after the last round stand, the last dim met exactly.
+    Null is a value like others.  Rounds go on until every margin is met within
+    ``tolerance`` of its target, at most ``rounds`` of them: where the margins
+    cannot all be met (structural zeros), the weights after the last round stand,
+    the last dim met exactly, and the residual says how far the others miss.  Up
+    to ``at_once`` cells are raked in one partition without any shuffle, more by
+    aggregates that are joined back.
     """
     base = cells = cut(cells)  # else the texts are read again for every margin
+    few = base.limit(at_once + 1).count() <= at_once
     for d, power in dims.items():
         margin = base.groupBy(F.col(d).alias("__d")).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("__r"))
         total = margin.agg(F.sum("__r")).scalar()
@@ -55,16 +72,26 @@ def rake(cells: DataFrame, dims: dict[str, float], rounds: int = ROUNDS) -> Data
             cells.join(margin, F.col(d).eqNullSafe(F.col("__d"))).withColumn(f"__t_{d}", F.col("__r") / total).drop("__d", "__r")
         )
     grand = base.agg(F.sum("tokens").cast("double"))
-    cells = cut(cells.withColumns({"__grand": grand.scalar(), "weight": F.col("tokens").cast("double")}))
+    cells = cells.withColumns({"__grand": grand.scalar(), "weight": F.col("tokens").cast("double")})
+    cells = cut(cells.coalesce(1) if few else cells)
+    residual = float("inf")
     for i in range(rounds):
         for d in dims:
-            now = F.sum("weight").over(Window.partitionBy(d))
-            cells = cells.withColumn(
-                "weight", F.when(now > 0, F.col("weight") * F.col(f"__t_{d}") * F.col("__grand") / now).otherwise(F.lit(0.0))
-            )
+            if few:
+                cells = cells.withColumn("__now", F.sum("weight").over(Window.partitionBy(d)))
+            else:
+                margin = cells.groupBy(F.col(d).alias("__d")).agg(F.sum("weight").alias("__now"))
+                cells = cells.join(margin, F.col(d).eqNullSafe(F.col("__d"))).drop("__d")
+            met = F.col("weight") * F.col(f"__t_{d}") * F.col("__grand") / F.col("__now")
+            cells = cells.withColumn("weight", F.when(F.col("__now") > 0, met).otherwise(F.lit(0.0))).drop("__now")
+            if not few:
+                cells = stored(cells, "raked")
         if i % 4 == 3 or i == rounds - 1:
-            cells = cut(cells)
-    return cells.drop("__grand", *[f"__t_{d}" for d in dims])
+            cells = cut(cells).coalesce(1) if few else cells
+            residual = _residual(cells, dims)
+            if residual <= tolerance:
+                break
+    return cells.drop("__grand", *[f"__t_{d}" for d in dims]), residual
 
 
 def scale(raked: DataFrame, budget: float) -> float:
@@ -96,9 +123,12 @@ def mix(
     seed: int = 8,
     rounds: int = ROUNDS,
     budget: float = BUDGET,
+    carry_text: bool = True,
 ) -> DataFrame:
     """All rows and columns, with n_tokens, weight, probability and sampled.
 
+    Without ``carry_text`` the text is left out, and read only once.
+
     ``dims`` maps a name to (column, power); by default source, lang and topic.
     ``weight`` is the calibrated number of tokens that the document stands for.
     Sampled documents are expected to hold the share ``budget`` of all tokens,
@@ -117,8 +147,11 @@ def mix(
     d = docs.select(
         *[F.col(f"`{c}`") for c in names], n_tokens(text).alias("n_tokens"), *[c.cast("string").alias(keys[k]) for k, (c, _) in dims.items()]
     )
+    if not carry_text:
+        names = [c for c in names if c != text_col]
+        d = stored(d.drop(text_col), "mixing-measured")
     cells = d.groupBy(*keys.values()).agg(F.sum("n_tokens").alias("tokens"))
-    raked = rake(cells, {keys[k]: p for k, (_, p) in dims.items()}, rounds)
+    raked, _ = rake(cells, {keys[k]: p for k, (_, p) in dims.items()}, rounds)
     raked = cut(raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))))
     factor = scale(raked, budget)
     rates = cut(

@@ -62,7 +62,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.mix(docs).select("doc_id", "n_tokens", "weight", "probability", "sampled")
+    return mixing.mix(docs, carry_text=False).select("doc_id", "n_tokens", "weight", "probability", "sampled")
 
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

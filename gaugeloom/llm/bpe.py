@@ -138,6 +138,14 @@ def split_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return byte_at[starts], np.searchsorted(starts, first)
 
 
+def _same(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, like: np.ndarray) -> bool:
+    """Whether every span, and together they are the text, has the bytes of the span ``like`` it."""
+    size = stops - starts
+    if (size[like] != size).any():
+        return False
+    return bool((buf[np.arange(len(buf)) + np.repeat(starts[like] - starts, size)] == buf).all())
+
+
 class Codec:
     """A task's encoder and decoder over one rank file."""
 
@@ -156,7 +164,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -190,27 +198,26 @@ class Codec:
         """All ids of a run of texts and each document's first position in them."""
         starts, first = split_words(buf, off)
         stops = np.append(starts[1:], len(buf))
-        power, inverse = K.powers(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(K._TABLE[buf] * power[: len(buf)], out=sums[1:])
-        keys = K.mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
-        codes, distinct = pd.factorize(keys)
+        codes, distinct = pd.factorize(K.span_hashes(buf, starts, stops))
         where = np.empty(len(distinct), np.int64)
         where[codes[::-1]] = np.arange(len(codes))[::-1]
-        if len(self.known) + len(distinct) > REMEMBERED:
+        data = buf.tobytes()
+        if not _same(buf, starts, stops, where[codes]):
+            codes, spelled = pd.factorize(np.array([data[a:b] for a, b in zip(starts, stops, strict=True)], object))
+            spelled = list(spelled)
+        else:
+            spelled = [data[starts[i] : stops[i]] for i in where]
+        if len(self.known) + len(spelled) > REMEMBERED:
             self.forget()
-        spelled = distinct.tolist()
-        fresh = [k for k, h in enumerate(spelled) if h not in self.known]
+        fresh = [w for w in spelled if w not in self.known]
         if fresh:
-            data = buf.tobytes()
-            words = [data[starts[i] : stops[i]] for i in where[fresh]]
-            begin, count, flat = self.contract(words)
-            for k in fresh:
-                self.known[spelled[k]] = len(self.known)
+            begin, count, flat = self.contract(fresh)
+            for w in fresh:
+                self.known[w] = len(self.known)
             self.begin = np.append(self.begin, len(self.flat) + begin)
             self.count = np.append(self.count, count)
             self.flat = np.append(self.flat, flat)
-        slot = np.fromiter((self.known[h] for h in spelled), np.int64, len(spelled))[codes]
+        slot = np.fromiter((self.known[w] for w in spelled), np.int64, len(spelled))[codes]
         count = self.count[slot]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0

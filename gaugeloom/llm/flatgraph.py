@@ -5,13 +5,16 @@ nearest clusters, so the shards overlap.  Every shard builds a robust-pruned
 graph over its vectors; the adjacency lists of a vector are united over its
 shards.  Each vector is then searched from the medoid of its shards by greedy
 best-first steps, and on through every vector found within the threshold (range
-expansion).  Recall is audited against brute force for a sample of vectors, and
-the search is widened until it meets the target.  Every link is verified by its
-cosine in double precision.
+expansion).  Recall is audited against brute force for samples of vectors with
+and without found links, and the search is widened until it meets the target;
+if the widest search does not, all blocks of a label are compared in full.  Every
+link is verified by its cosine in double precision.
 
 Equal vectors fold into one class first.  Shards over ``BLOCK`` vectors are cut
-into blocks; each block of queries then searches each block's graph, so memory
-is bounded whatever the size of a label or a cluster.
+into blocks; the vectors of two blocks search each other's graph in one task, so
+memory is bounded whatever the size of a label or a cluster.  A task gives each
+vector's number of links and a root of its links, not the pairs; a pair that
+shares several shards counts in the first of them.
 """
 
 from __future__ import annotations
@@ -23,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import bounded, stored
 from .graph import components
 from .topk import usable
 
 SHARD, BLOCK, OVERLAP = 768, 1536, 2
 MAX_CLUSTERS, SAMPLE = 512, 8192
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 32
-AUDIT, TARGET = 128, 0.9
+#: Vectors audited of those with and of those without links, and the mean recall to meet.
+AUDIT, TARGET, WIDEST = 256, 0.9, 64
+#: Products computed at once.
+SLICE = 1 << 16
 
 
 def vectors_of(column) -> np.ndarray:
@@ -118,7 +124,7 @@ def search(x: np.ndarray, near: list[np.ndarray], q: np.ndarray, threshold: floa
             new = ~visited[row, to]
             row, to = row[new], to[new]
             visited[row, to] = True
-            s = np.einsum("ij,ij->i", part[row], x[to])
+            s = np.concatenate([np.einsum("ij,ij->i", part[row[k : k + SLICE]], x[to[k : k + SLICE]]) for k in range(0, max(len(row), 1), SLICE)])
             front[row, to] = s
             found = s >= threshold
             hits.append(np.stack([row[found], to[found]], 1))
@@ -162,26 +168,63 @@ def _build(t: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids), "near": pa.array([ids[a].tolist() for a in near], pa.list_(pa.int64()))})
 
 
-def _search(threshold: float, beam: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        ids, q_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        x, q = unit(vectors_of(left.column("v"))), unit(vectors_of(right.column("v")))
-        order = np.argsort(ids)
-        near = []
-        for a in left.column("near").to_pylist():
-            a = np.array(a or [], np.int64)
-            at = np.minimum(np.searchsorted(ids, a, sorter=order), len(ids) - 1)
-            at = order[at]
-            near.append(at[ids[at] == a])
-        i, j = search(x.astype(np.float32), near, q.astype(np.float32), threshold - 1e-4, beam)
-        raw, raw_q = vectors_of(left.column("v")), vectors_of(right.column("v"))
-        ok = (ids[j] != q_ids[i]) & (cosine(raw_q[i], raw[j]) >= threshold)
-        a, b = q_ids[i[ok]], ids[j[ok]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+def _graph(ids: np.ndarray, lists: list) -> list[np.ndarray]:
+    """Neighbours as positions among ``ids``; those of other blocks are left out."""
+    order, near = np.argsort(ids), []
+    for a in lists:
+        a = np.array(a or [], np.int64)
+        at = order[np.minimum(np.searchsorted(ids, a, sorter=order), len(ids) - 1)]
+        near.append(at[ids[at] == a])
+    return near
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest position reachable from each of n positions by pairs (a, b)."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _search(threshold: float, beam: int, exact: bool):
+    """applyInArrow function over two blocks (or one with itself) -> (id, n, root)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, block, m = (t.column(c).to_numpy() for c in ("id", "block", "m"))
+        raw, shard = vectors_of(t.column("v")), t.column("shard")[0].as_py()
+        x = unit(raw).astype(np.float32)
+        shards = t.column("shards").to_pylist()
+        sides = [np.flatnonzero(block == k) for k in np.unique(block)]
+        one = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        found = []
+        for left, right in [(sides[0], sides[0])] if one else [sides, sides[::-1]] if len(sides) == 2 else []:
+            if exact:
+                i, j = np.nonzero(x[right] @ x[left].T >= threshold - 1e-4)
+            else:
+                lists = t.column("near").take(pa.array(left)).to_pylist()
+                i, j = search(x[left], _graph(ids[left], lists), x[right], threshold - 1e-4, beam)
+            found.append(np.stack([right[i], left[j]], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs, 1), axis=0)
+        pairs = pairs[ids[pairs[:, 0]] != ids[pairs[:, 1]]]
+        ok = [cosine(raw[part[:, 0]], raw[part[:, 1]]) >= threshold for part in np.array_split(pairs, len(pairs) // SLICE + 1)]
+        a, b = pairs[np.concatenate(ok)].T
+        n = np.zeros(len(ids), np.int64)
+        own = np.array([min(set(shards[i]) & set(shards[j])) == shard for i, j in zip(a, b, strict=True)], bool) if any(len(s) > 1 for s in shards) else np.ones(len(a), bool)
+        np.add.at(n, a[own], m[b[own]])
+        np.add.at(n, b[own], m[a[own]])
+        order = np.argsort(ids)  # positions in the order of ids, so a root is the smallest id
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        low = ids[order[roots(rank[a], rank[b], len(ids))[rank]]]
+        some = np.unique(np.concatenate([a, b]))
+        return pa.table({"id": pa.array(ids[some]), "n": pa.array(n[some]), "root": pa.array(low[some])})
 
     return run
 
@@ -193,50 +236,63 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
 
 
-def _links(classes: DataFrame, sent, threshold: float, overlap: int, beam: int) -> DataFrame:
-    placed = classes.mapInArrow(
-        _assign(sent, overlap), f"label {classes.schema['label'].dataType.simpleString()}, shard long, id long, v array<double>"
-    )
+def _links(classes: DataFrame, sent, threshold: float, overlap: int, beam: int, exact: bool = False) -> DataFrame:
+    """(id, n, root) rows: sums of ``n`` by id are numbers of links, (id, root) are links' components."""
+    label = classes.schema["label"].dataType.simpleString()
+    placed = classes.select("label", "id", "v").mapInArrow(_assign(sent, overlap), f"label {label}, shard long, id long, v array<double>")
     placed = stored(placed, "flat-shards")
     sizes = placed.groupBy("label", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(sizes, ["label", "shard"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    lists = placed.groupBy("label", "shard", "i").applyInArrow(_build, "id long, near array<long>")
-    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    index = placed.join(united, "id").withColumn("j", every).select("label", "shard", "i", "j", "id", "v", "near")
-    asked = placed.withColumn("every", every)
-    query = asked.select(
-        *[F.col(c).alias(name) for name, c in (("label", "label"), ("shard", "shard"), ("i", "every"), ("j", "i"), ("id", "id"), ("v", "v"))]
+    placed = placed.join(bounded(sizes), ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    lists = placed.groupBy("id").agg(F.collect_list("shard").alias("shards"))
+    if exact:
+        lists = lists.withColumn("near", F.array().cast("array<long>"))
+    else:
+        near = placed.groupBy("label", "shard", "block").applyInArrow(_build, "id long, near array<long>")
+        lists = lists.join(near.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "id")
+    rows = placed.join(lists, "id").join(classes.select("id", "m"), "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).select(
+        "label", "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v", "near", "m", "shards"
     )
-    keys = ("label", "shard", "i", "j")
-    return index.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInArrow(_search(threshold, beam), "a long, b long").distinct()
+    return rows.groupBy("label", "shard", "i", "j").applyInArrow(_search(threshold, beam, exact), "id long, n long, root long")
+
 
+def audit_recall(classes: DataFrame, degree: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[float, int]:
+    """Mean recall over the vectors that have links, and the number of true links it rests on.
 
-def audit_recall(classes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of ``sample`` vectors, by brute force, that were found."""
-    chosen = classes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).collect()
-    if not chosen:
-        return 1.0
+    ``sample`` vectors with found links (degree: id, n) and as many without are
+    compared with all vectors of their labels; a vector's recall is the share of
+    its true links that were found, so a large group weighs no more than a pair.
+    """
+    known = classes.select("label", "id", "v", "m").join(degree, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sizes = {r["linked"]: r["k"] for r in known.groupBy((F.col("n") > 0).alias("linked")).agg(F.count("*").alias("k")).collect()}
+    chosen = []
+    for linked in sizes:
+        chosen += known.where((F.col("n") > 0) == linked).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).collect()
     by: dict = {}
     for r in chosen:
         by.setdefault((r["label"], len(r["v"])), []).append((r["id"], r["v"]))
     sent = classes.sparkSession.sparkContext.broadcast({k: (np.array([i for i, _ in x]), np.array([v for _, v in x], float)) for k, x in by.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for b in batches:
-            a_out, b_out = [], []
-            for label, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for label, i, v, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 v = np.asarray(v.values.to_numpy(zero_copy_only=False), float)
                 ids, x = sent.value.get((label, len(v)), (None, None))
                 if ids is not None:
-                    ok = (cosine(x, np.broadcast_to(v, x.shape)) >= threshold) & (ids != i)
-                    a_out += ids[ok].tolist()
-                    b_out += [i] * int(ok.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["x", "y"])
+                    for k in ids[(cosine(x, np.broadcast_to(v, x.shape)) >= threshold) & (ids != i)].tolist():
+                        seen[k] = seen.get(k, 0) + m
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["id", "n"])
 
-    true = classes.mapInArrow(run, "x long, y long").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    n, hit = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return hit / n if n else 1.0
+    true = {r["id"]: r["n"] for r in classes.select("label", "id", "v", "m").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    having, caught = 0.0, 0.0  # vectors with links, and their recalls, by the strata's sizes
+    for linked, size in sizes.items():
+        part = [r for r in chosen if (r["n"] > 0) == linked]
+        recalls = [r["n"] / true[r["id"]] for r in part if true.get(r["id"])]
+        having += size * len(recalls) / len(part)
+        caught += size * sum(recalls) / len(part)
+    return (caught / having if having else 1.0), sum(true.values())
 
 
 def near_duplicates(
@@ -268,20 +324,17 @@ def near_duplicates(
             picked.setdefault(r["label"], []).append(r["v"])
     cents = {label: centroids(unit(np.array(x, float)), min(MAX_CLUSTERS, -(-counts[label] * OVERLAP // SHARD), len(x))) for label, x in picked.items()}
     sent = vectors.sparkSession.sparkContext.broadcast(cents)
-    slim = classes.select("label", "id", "v")
-    overlap, beam = OVERLAP, BEAM
+    overlap, beam, exact = OVERLAP, BEAM, False
     while True:
-        links = cut(_links(slim, sent, threshold, overlap, beam))
-        recall = audit_recall(slim, links, threshold)
-        if recall >= TARGET:
+        links = stored(_links(classes, sent, threshold, overlap, beam, exact), "flat-links")
+        degree = stored(links.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0"), "flat-degrees")
+        if exact or audit_recall(classes, degree, threshold)[0] >= TARGET:
             break
-        if overlap >= 64:
-            raise RuntimeError(f"recall {recall:.3f} after the widest search")
         overlap, beam = overlap * 2, beam * 2
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = classes.select(F.col("id").alias("b"), "m")
-    degree = both.join(weight, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("others"))
-    comp = components(links).withColumnRenamed("id", "rep")
+        if overlap > WIDEST:  # compare in full
+            overlap, exact, sent = 1, True, vectors.sparkSession.sparkContext.broadcast({})
+    degree = degree.select(F.col("id").alias("rep"), F.col("n").alias("others"))
+    comp = components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     result = (
         classes.select("label", "v", F.col("id").alias("rep"), "m")
         .join(degree, "rep", "left")

@@ -40,11 +40,8 @@ def diff(source: DataFrame, extracted: DataFrame, keys: list[str]) -> DataFrame:
 
 def summary(discrepancies: DataFrame, a: str, b: str) -> DataFrame:
     """Counts by category, by (b, category) and in total, in one pass."""
-    discrepancies.createOrReplaceTempView("__discrepancies")
-    return discrepancies.sparkSession.sql(
-        f"SELECT {a}, {b}, count(*) AS n, grouping_id({a}, {b}) AS level FROM __discrepancies "
-        f"GROUP BY GROUPING SETS (({a}), ({a}, {b}), ())"
-    )
+    x, y = F.col(a), F.col(b)
+    return discrepancies.groupingSets([[x], [x, y], []], x, y).agg(F.count("*").alias("n"), F.grouping_id(a, b).alias("level")).select(a, b, "n", "level")
 
 
 def union_catalog(cells: DataFrame, name: str, sets: list[str]) -> DataFrame:

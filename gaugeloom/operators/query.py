@@ -57,17 +57,22 @@ def compare(op: Column, value: Column, threshold: Column) -> Column:
     )
 
 
-def evaluate_triggers(triggers: DataFrame, obs: DataFrame) -> DataFrame:
+def evaluate_triggers(triggers: DataFrame, obs: DataFrame, now: Column | None = None) -> DataFrame:
     """One row per active trigger; a field without observations does not fire.
 
-    Observations are pre-aggregated where that decides the outcome: a threshold
-    test needs the extremes of a field, and equality the distinct values.
+    Equal values of a field are pre-aggregated and meet the triggers in an inner
+    join, whose smaller side Spark may broadcast by its size.  With ``now`` the
+    rows also carry last_fired: now where it fires, else as it was (sticky).
     """
     t = triggers.where("active")
     values = obs.groupBy("field", "value").agg(F.count("*").alias("n"))
-    j = t.join(values, "field", "left")
+    j = values.join(t.select("trigger_id", "field", "operator", "threshold"), "field")
     fired = F.coalesce(F.bool_or(compare(F.col("operator"), F.col("value"), F.col("threshold"))), F.lit(False))
-    return j.groupBy("trigger_id").agg(fired.alias("fired"), F.max("value").alias("max_value"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    seen = j.groupBy("trigger_id").agg(fired.alias("fired"), F.max("value").alias("max_value"), F.sum("n").alias("n"))
+    out = t.join(seen, "trigger_id", "left").withColumns({"fired": F.coalesce("fired", F.lit(False)), "n": F.coalesce("n", F.lit(0))})
+    if now is None:
+        return out.select("trigger_id", "fired", "max_value", "n")
+    return out.select("trigger_id", "fired", "max_value", "n", F.when(F.col("fired"), now).otherwise(F.col("last_fired")).alias("last_fired"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_old_if_blank: list[str], overwrite: list[str], unite: list[str]) -> DataFrame:

@@ -101,12 +101,12 @@ def greedy_column_map(spark, d):
 
 @register(
     "unique_candidate_recovery",
-    f"""WITH cells AS ({_CELLS}), s AS (SELECT l_orderkey AS page, 20 * l_linenumber AS top, max(l_tax) AS found, count(*) AS n FROM lineitem WHERE l_orderkey % 4 = 1 GROUP BY 1, 2)
+    f"""WITH cells AS ({_CELLS}), s AS (SELECT l_orderkey AS page, 20 * l_linenumber AS top, max(l_tax) AS found, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT c.page, c.top, c."column", coalesce(CASE WHEN c."column" = 'REF' AND c.source_status = 'SOURCE_BLANK' AND n = 1 THEN found END, c.value) AS value,
 c."column" = 'REF' AND c.source_status = 'SOURCE_BLANK' AND coalesce(n, 0) = 1 AS recovered FROM cells c LEFT JOIN s ON s.page = c.page AND s.top = c.top""",
 )
 def unique_candidate_recovery(spark, d):
-    strays = read(spark, d, "lineitem").where("l_orderkey % 4 = 1").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 20).alias("top"), F.lit("REF").alias("column"), F.col("l_tax").alias("value"))
+    strays = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 20).alias("top"), F.lit("REF").alias("column"), F.col("l_tax").alias("value"))
     return grid.recover_unique(grid.grid_cells(*_grid(spark, d)), strays).select("page", "top", "column", "value", "recovered")
 
 

@@ -11,8 +11,9 @@ All counts and weights are computed by aggregations over the whole training
 corpus.  The nodes deeper than ``SHARED`` are worked out in shards of grams that
 have their latest ``SHARED`` bytes in common, the others by joins from each depth
 to the next.  No node is left out: every distinct gram of the corpus gets its
-score in a table, and a block of texts is joined with the words and grams that
-it has.
+score in a table.  A block of texts asks for the words and grams that it has, as
+one packed list for each shard, and is answered by a list of values in the same
+order.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,13 @@ HELD = 700_000
 #: Bytes of text whose grams are counted at once; equal grams fold.
 RUN = 4 << 20
 #: Characters of text that one block of the scoring join holds, about.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 #: Depth down to which nodes are rows of a table; deeper ones stay in their shard.
 SHARED = 3
 #: Distinct grams of a shard, about.
 SHARD_GRAMS = 40_000
+#: Blocks that ask one copy of a shard.
+ASKED_AT_ONCE = 512
 END_BYTE = 10
 END_KEY = -1
 U64 = np.uint64
@@ -235,7 +239,7 @@ def predictions(levels: list[DataFrame]) -> DataFrame:
 
 
 def _gram_scores(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A shard's grams (key, n) and paths -> (key, value): log10 probability of the byte."""
+    """A shard's grams (shard, key, n) and paths -> (shard, key, value): log10 probability of the byte."""
     key = left.column("key").to_numpy()
     leaf, levels = _shard(key, left.column("n").to_numpy())
     at = right.column("at").to_numpy()
@@ -250,21 +254,71 @@ def _gram_scores(left: pa.Table, right: pa.Table) -> pa.Table:
     sym, value = key & 255, np.zeros(len(key))
     for k in range(8):
         value += np.log10(np.where(sym >> (7 - k) & 1, p[k], 1 - p[k]))
-    return pa.table({"key": pa.array(key), "value": pa.array(value)})
+    return pa.table({"shard": left.column("shard"), "key": pa.array(key), "value": pa.array(value)})
 
 
-def gram_scores(counts: DataFrame) -> DataFrame:
-    """Gram counts (key, n) -> (key, value): log10 probability of each gram's byte after its context."""
-    shards = max(1, -(-counts.count() // SHARD_GRAMS))
+_SPREAD, _LOW = 2654435761, (1 << 32) - 1
 
-    def dealt(ctx: Column) -> Column:
-        return F.pmod(F.xxhash64(ctx), F.lit(shards)).cast("int").alias("shard")
 
-    sharded = counts.select(dealt(F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * SHARED)) - 1))), "key", "n")
+def _gram_shard(key, shards: int, column: bool = False):
+    """The shard of a gram by its latest SHARED context bytes; of a Column or an array alike."""
+    if column:
+        ctx = F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * SHARED) - 1))
+        return F.shiftright((ctx * F.lit(_SPREAD)).bitwiseAND(F.lit(_LOW)) * F.lit(shards), 32)
+    return ((key >> 8 & (1 << 8 * SHARED) - 1) * _SPREAD & _LOW) * shards >> 32
+
+
+def _word_shard(key, shards: int, column: bool = False):
+    """Shards of words are numbered downwards from -1."""
+    if column:
+        return -1 - F.shiftright(F.shiftright(key, 33).bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(shards), 31)
+    return -1 - ((key >> 33 & (1 << 31) - 1) * shards >> 31)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences, byte plane by byte plane."""
+    planes = np.diff(keys, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel().cumsum()
+
+
+def _asked(buf: np.ndarray, off: np.ndarray, shards: int, word_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shards and keys of the distinct words and grams of a block, in order of shard and key."""
+    found = (_Distinct(), _Distinct())
+    found[0].add(np.array([END_KEY], np.int64))
+    for _, _, part, o in K.runs(buf, off):
+        found[0].add(tokens(part, o)[0])
+        found[1].add(grams(part, o)[0].view(np.int64))
+    keys = np.concatenate([f.keys for f in found])
+    shard = np.concatenate([_word_shard(found[0].keys, word_shards), _gram_shard(found[1].keys, shards)])
+    order = np.lexsort((keys, shard))
+    return shard[order], keys[order]
+
+
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Requests (shard, block, keys) and a shard's terms (key, value) -> (block, shard, data); unknown keys are 0."""
+    order = np.argsort(right.column("key").to_numpy())
+    key = np.append(right.column("key").to_numpy()[order], np.iinfo(np.int64).max)
+    value = np.append(right.column("value").to_numpy()[order], 0.0)
+    data = []
+    for asked in left.column("keys"):
+        keys = _unpack(asked.as_py())
+        at = np.searchsorted(key, keys)
+        data.append(np.where(key[at] == keys, value[at], 0.0).tobytes())
+    return pa.table({"block": left.column("block"), "shard": left.column("shard"), "data": pa.array(data, pa.binary())})
+
+
+def gram_scores(counts: DataFrame, shards: int) -> DataFrame:
+    """Gram counts (key, n) -> (shard, key, value): log10 probability of each gram's byte after its context."""
+    sharded = counts.select(_gram_shard(F.col("key"), shards, True).alias("shard"), "key", "n")
     paths = predictions(context_tree(sharded)).select(
-        dealt(F.col("ctx")), F.shiftleft("ctx", 8).bitwiseOR(F.col("node").cast("long")).alias("at"), "one", "left", "last"
+        _gram_shard(F.shiftleft("ctx", 8), shards, True).alias("shard"), F.shiftleft("ctx", 8).bitwiseOR(F.col("node").cast("long")).alias("at"), "one", "left", "last"
     )
-    return sharded.groupBy("shard").cogroup(paths.groupBy("shard")).applyInArrow(_gram_scores, "key long, value double")
+    return sharded.groupBy("shard").cogroup(paths.groupBy("shard")).applyInArrow(_gram_scores, "shard long, key long, value double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
@@ -288,37 +342,46 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     )
     words = counted.where("kind = 0").select("key", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    scored = gram_scores(counted.where("kind = 1").select("key", "n"))
+    n_grams = counted.where("kind = 1").count()
+    shards, word_shards = (max(1, -(-n // SHARD_GRAMS)) for n in (n_grams, distinct))
+    scored = gram_scores(counted.where("kind = 1").select("key", "n"), shards)
     # words with their counts, grams with their scores
-    terms = words.select(F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("value")).unionByName(
-        scored.select(F.lit(1).alias("kind"), "key", "value")
-    )
+    terms = words.select(_word_shard(F.col("key"), word_shards, True).alias("shard"), "key", F.col("c").cast("double").alias("value")).unionByName(scored)
+    terms = stored(terms, "ctw-terms")
     floor = math.log10(total + 0.5 * (distinct + 1))
     chars = d.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
     dealt = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
+    parts = max(1, -(-blocks // ASKED_AT_ONCE))
+
     def vocabulary(t: pa.Table) -> pa.Table:
-        found = (_Distinct(), _Distinct())
-        found[0].add(np.array([END_KEY], np.int64))
-        buf, off = K.utf8(t.column("text"))
-        for _, _, part, o in K.runs(buf, off):
-            found[0].add(tokens(part, o)[0])
-            found[1].add(grams(part, o)[0].view(np.int64))
-        keys = [np.sort(f.keys) for f in found]  # in order they pack better
-        kind = np.repeat(np.arange(2, dtype=np.int32), [len(k) for k in keys])
-        block = np.full(len(kind), t.column("block")[0].as_py(), np.int32)
-        return pa.table({"block": pa.array(block), "kind": pa.array(kind), "key": pa.array(np.concatenate(keys))})
-
-    known = dealt.groupBy("block").applyInArrow(vocabulary, "block int, kind int, key long").join(terms, ["kind", "key"]).select("block", "kind", "key", "value")
+        shard, keys = _asked(*K.utf8(t.column("text")), shards, word_shards)
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        packed = [_pack(k) for k in np.split(keys, cuts)]
+        block = t.column("block")[0].as_py()
+        return pa.table(
+            {
+                "shard": pa.array(shard[np.append(0, cuts)]),
+                "part": pa.array(np.full(len(packed), block % parts, np.int32)),
+                "block": pa.array(np.full(len(packed), block, np.int32)),
+                "keys": pa.array(packed, pa.binary()),
+            }
+        )
+
+    requests = dealt.groupBy("block").applyInArrow(vocabulary, "shard long, part int, block int, keys binary")
+    copies = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    known = requests.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_answer, "block int, shard long, data binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_gram = right.column("kind").to_numpy() == 1
-        key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        buf, off = K.utf8(left.column("text"))
+        shard, key = _asked(buf, off, shards, word_shards)
+        order = np.argsort(right.column("shard").to_numpy())
+        value = np.concatenate([np.frombuffer(right.column("data")[int(i)].as_buffer()) for i in order])
+        is_gram = shard >= 0
         index, count = pd.Index(key[~is_gram]), np.append(value[~is_gram], 0)
         order = np.argsort(key[is_gram])
         gram_at, gram_value = key[is_gram][order], value[is_gram][order]
-        buf, off = K.utf8(left.column("text"))
         n_tok, n_known, base, score, size = [], [], [], [], []
         end = count[index.get_indexer([END_KEY])[0]]
         for i, j, part, o in K.runs(buf, off):

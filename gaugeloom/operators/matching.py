@@ -74,7 +74,7 @@ def match_fields(rows: DataFrame, row: str, index: DataFrame, field: str) -> Dat
     status = F.when(F.col("score") < LEAST, "NO_MATCH").when(F.col("__next") >= F.col("score") - TIE, "OCR_AMBIGUOUS").otherwise("MATCHED")
     found = rows.select(row).distinct().join(top.withColumn("status", status), row, "left")
     return found.select(
-        row, F.when(F.col("status") == "MATCHED", F.col(field)).alias(field), F.round("score", 6).alias("score"), F.coalesce("status", F.lit("NO_MATCH")).alias("status")
+        row, F.when(F.col("status") == "MATCHED", F.col(field)).alias(field), F.when(F.col("score") >= LEAST, F.round("score", 6)).alias("score"), F.coalesce("status", F.lit("NO_MATCH")).alias("status")
     )
 
 

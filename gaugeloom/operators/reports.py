@@ -37,10 +37,9 @@ def by_priority(cells: DataFrame, by: list[str], columns: list[str], value: str
     return cells.where((place > 0) & F.col(value).isNotNull()).groupBy(*by).agg(F.min(F.struct(place.alias("p"), value)).alias("m")).select(*by, F.col("m.p").cast("int").alias("place"), F.col(f"m.{value}").alias(value))
 
 
-def field_definitions(rows: DataFrame, key: str, name: str, order: list[str]) -> DataFrame:
-    """The first row of each field, numbered by name."""
-    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
-    return first.withColumn("shown", F.row_number().over(Window.orderBy(name, key)))
+def field_definitions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each field."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
 def field_columns(cells: DataFrame, key: str) -> DataFrame:

@@ -106,7 +106,32 @@ SELECT r.id AS vec_id, (SELECT count(*) FROM l WHERE l.a = r.id)::BIGINT AS n_li
 FROM r GROUP BY r.id
 """
 
+_OP5_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '{FORGED}' FROM (VALUES (0, 'user'), (1, 'assistant')) f(turn, role)),
+w AS (SELECT *, role = 'assistant' AS target, row_number() OVER o AS n, count(*) OVER (PARTITION BY conv_id) AS turns,
+  sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11) OVER (o ROWS UNBOUNDED PRECEDING) AS chars
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY n) FILTER (target), ''))::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (target), '')) AS loss_sha256,
+  (sum(chars) FILTER (target OR n = turns))::BIGINT AS formatted_chars FROM w GROUP BY conv_id
+"""
+
+_NIBBLE = "position(substr(x, (5 * i) // 4 + {}, 1) IN '0123456789abcdef') - 1"
+_OP10_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h) AS size, sha1(h) AS x FROM p),
+f AS (SELECT x, min(page_id) AS first FROM s GROUP BY x)
+SELECT page_id, size::BIGINT AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((({_NIBBLE.format(1)}) * 16 + {_NIBBLE.format(2)}) >> (3 - (5 * i) % 4)::INT) & 31)::INT + 1, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM s JOIN f USING (x)
+"""
+
 ORACLE_SQL = {
+    "op5_chat_formatting": _OP5_SQL,
+    "op10_warc": _OP10_SQL,
     "op1_exact_topk": _OP1_SQL,
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op6_flat_graph_near_dedup": _OP6_SQL,

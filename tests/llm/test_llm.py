@@ -514,6 +514,11 @@ def test_warc_validates():
     for bad in (good[:-1], good.replace(b"body", b"bodx"), good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"X-Date")):
         with pytest.raises(ValueError):
             warc.parse(bad)
+    bare = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    head = [x for x in good.split(b"\r\n\r\n")[0].decode().split("\r\n") if not x.startswith(("WARC-Block", "Content-Length"))]
+    head += [f"WARC-Block-Digest: sha1:{warc._digest(bare)}", f"Content-Length: {len(bare)}"]
+    with pytest.raises(ValueError):
+        warc.parse("\r\n".join(head).encode() + b"\r\n\r\n" + bare + b"\r\n\r\n")
     whole = warc.compress_archive([good], warc.dictionary([b"abcdefgh" * 50 + bytes([i]) for i in range(200)]))
     assert len(list(warc.read_archive(whole))) == 1
     for bad in (whole[:-3], whole[4:], b""):

@@ -14,16 +14,18 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import remainder, small_batches
 
-#: Bound of the training sample: so many rows a language, so many characters each.
+#: Bound of the training sample: so many passages a language, so many characters each.
 SAMPLE_ROWS, SAMPLE_CHARS = 160, 600
-#: Texts are parsed in segments of so many bytes; a phrase ends with its segment.
+#: Texts are parsed in segments of so many symbols side by side; phrases run on over their borders.
 SEGMENT = 256
+#: Segments stepped together, and rounds of that before the rest is walked one by one.
+LANES, ROUNDS = 1 << 12, 4
 #: Bytes of text whose segments are parsed side by side.
 RUN = 1 << 20
 
@@ -60,6 +62,29 @@ class Transitions(NamedTuple):
         to = self.dense[self.row[state] + c]
         return to + self.target[state] * (self.symbol[state] == c)
 
+    def advance(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after symbols (-1: one that no sample has), and the phrases that end there."""
+        to = self.step(state, np.maximum(c, 0))
+        to[c < 0] = 0
+        done = np.zeros(len(c), np.uint8)
+        miss = np.flatnonzero(to == 0)
+        if len(miss):
+            # the phrase ends before this symbol, which begins the next one
+            done[miss] = state[miss] != 1
+            anew = self.step(np.ones(len(miss), np.int64), np.maximum(c[miss], 0))
+            anew[c[miss] < 0] = 0
+            done[miss] += anew == 0  # a symbol the language never has is a phrase
+            to[miss] = np.where(anew == 0, 1, anew)
+        return to, done
+
+    def walk(self, state: int, c: int) -> tuple[int, int]:
+        """``advance`` of a single state."""
+        to = anew = 0
+        if c >= 0:
+            to = int(self.dense[self.row[state] + c]) or (int(self.target[state]) if self.symbol[state] == c else 0)
+            anew = int(self.dense[self.row[1] + c])
+        return (to, 0) if to else (anew or 1, (state != 1) + (not anew))
+
 
 def automaton(text: np.ndarray, symbols: int) -> Transitions:
     """The suffix automaton of a text."""
@@ -123,51 +148,13 @@ class Model:
         sizes = [max(2, len(t)) for t in texts]
         self.weight = np.log2(sizes)
 
-    def phrases(self, segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each row of symbol columns (sorted by falling length), by language."""
-        out = np.zeros((len(lengths), len(self.langs)), np.int64)
-        live = np.searchsorted(-lengths, -np.arange(1, segments.shape[1] + 1), side="right")
-        for k, table in enumerate(self.tables):
-            state = np.ones(len(lengths), np.int64)
-            count = out[:, k]
-            for i, n in enumerate(live):
-                if not n:
-                    break
-                c = segments[:n, i]
-                here = state[:n]
-                to = table.step(here, np.maximum(c, 0))
-                to[c < 0] = 0
-                miss = np.flatnonzero(to == 0)
-                if len(miss):
-                    # the phrase ends before this symbol, which begins the next one
-                    count[miss] += here[miss] != 1
-                    again = table.step(np.ones(len(miss), np.int64), np.maximum(c[miss], 0))
-                    again[c[miss] < 0] = 0
-                    count[miss] += again == 0  # a symbol the language never has is a phrase
-                    to[miss] = np.where(again == 0, 1, again)
-                state[:n] = to
-            count += state != 1
-        return out
-
     def score(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language and score of each text of a run."""
         sym, keep = fold(buf)
-        column = self.column[sym]
-        at = np.concatenate([[0], np.cumsum(keep)])[off]
-        column = column[keep]
+        at = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[off]
+        column = self.column[sym[keep]].astype(np.int16)
         sizes = np.diff(at)
-        pieces = -(-sizes // SEGMENT)
-        doc = np.repeat(np.arange(len(sizes)), pieces)
-        part = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = at[:-1][doc] + part * SEGMENT
-        length = np.minimum(SEGMENT, at[1:][doc] - begin)
-        bits = np.zeros((len(sizes), len(self.langs)))
-        order = np.argsort(-length, kind="stable")
-        for i in range(0, len(order), 1 << 12):
-            rows = order[i : i + (1 << 12)]
-            where = np.minimum(begin[rows, None] + np.arange(length[rows[0]]), len(column) - 1)
-            np.add.at(bits, doc[rows], self.phrases(column[where], length[rows]))
-        bits *= self.weight
+        bits = np.stack([phrases(table, column, sizes) for table in self.tables], 1) * self.weight
         best = bits.argmin(1)
         # posterior of a source that spends these bits, per phrase of the winner
         least = bits.min(1, keepdims=True)
@@ -175,27 +162,95 @@ class Model:
         return best, 1 / odds.sum(1)
 
 
+def phrases(table: Transitions, column: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Phrases of each text; the texts of these sizes stand one after another in ``column``.
+
+    Segments are first parsed side by side as if a phrase began with each.  Then
+    every segment whose predecessor ends within a phrase is parsed again from
+    there, up to the symbol at which it meets its earlier parse; what it changes at
+    its end goes to its successor in the next round.  Segments that do not settle
+    (long repetitions) are walked in order, so the work is linear in any case.
+    """
+    pieces = -(-sizes // SEGMENT)
+    doc = np.repeat(np.arange(len(sizes)), pieces)
+    part = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.cumsum(sizes) - sizes
+    begin = start[doc] + part * SEGMENT
+    end = np.minimum(begin + SEGMENT, (start + sizes)[doc])
+    after = np.zeros(len(column), np.int32)  # the state after each symbol
+    ended = np.zeros(len(column), np.uint8)  # the phrases that end at each symbol
+
+    def parse(lanes: np.ndarray, state: np.ndarray, again: bool) -> None:
+        order = np.argsort(begin[lanes] - end[lanes], kind="stable")
+        pos, last, state = begin[lanes][order], end[lanes][order], state[order]
+        while len(pos):
+            state, done = table.advance(state, column[pos])
+            met = after[pos] == state if again else False
+            after[pos], ended[pos] = state, done
+            pos = pos + 1
+            go = pos < last if not again else (pos < last) & ~met
+            if not go.all():
+                pos, last, state = pos[go], last[go], state[go]
+
+    used = np.ones(len(doc), np.int64)
+    for i in range(0, len(doc), LANES):
+        lanes = np.arange(i, min(i + LANES, len(doc)))
+        parse(lanes, used[lanes], False)
+    follow = np.flatnonzero(part)
+    for _ in range(ROUNDS):
+        want = after[begin[follow] - 1]
+        changed = used[follow] != want
+        lanes = follow[changed]
+        used[lanes] = want[changed]
+        for i in range(0, len(lanes), LANES):
+            few = lanes[i : i + LANES]
+            parse(few, used[few], True)
+    if (used[follow] != after[begin[follow] - 1]).any():
+        for lane in follow.tolist():
+            state = int(after[begin[lane] - 1])
+            if state == used[lane]:
+                continue
+            for pos in range(int(begin[lane]), int(end[lane])):
+                state, done = table.walk(state, int(column[pos]))
+                met = after[pos] == state
+                after[pos], ended[pos] = state, done
+                if met:
+                    break
+    out = np.zeros(len(sizes), np.int64)
+    if len(doc):
+        np.add.at(out, doc, np.add.reduceat(ended, begin, dtype=np.int64))
+        filled = np.flatnonzero(sizes)
+        out[filled] += after[(start + sizes)[filled] - 1] != 1  # the phrase that the text's end ends
+    return out
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """Fits the automata on training rows: crc32(id) mod 5 is not 0, label not null.
 
-    At most about ``SAMPLE_ROWS`` rows a language are taken, chosen by a hash of
-    the id, and at most ``SAMPLE_CHARS`` characters of each, from its middle; the
-    number of languages is that of the labels.  None if there is no such row.
+    The texts are cut into passages of ``SAMPLE_CHARS`` characters, and about
+    ``SAMPLE_ROWS`` passages a language are taken out of all, by a hash of the id
+    and the place; the number of languages is that of the labels.  None if there
+    is no such row.
     """
     train = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang")
     ).where((F.coalesce(remainder(F.col("id"), 5), F.lit(1)) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    passages = F.ceil(F.length("text") / SAMPLE_CHARS)
     # one count a language; the model has an automaton for each of them anyway
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.sum(passages).alias("n")).collect()}
     if not sizes:
         return None
     n = F.element_at(F.create_map(*[F.lit(x) for item in sizes.items() for x in item]), F.col("lang"))
-    share = F.xxhash64("id", F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    middle = F.greatest(F.lit(1), (F.length("text") - SAMPLE_CHARS) / 2).cast("int")
-    # the frequent rows of small samples are all taken; ties go by the text
+
+    def drawn(i: Column) -> Column:
+        share = F.xxhash64("id", i, F.lit(7)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+        return share * n < SAMPLE_ROWS
+
+    # the passages of small samples are all taken; repeated ones count once
+    places = F.filter(F.sequence(F.lit(0).cast("bigint"), passages - 1), drawn)
     picked = (
-        train.where(share * n < SAMPLE_ROWS)
-        .select("lang", F.substring(F.col("text"), middle, F.lit(SAMPLE_CHARS)).alias("text"))
+        train.select("lang", "text", F.explode(places).alias("i"))
+        .select("lang", F.substring("text", (F.col("i") * SAMPLE_CHARS + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
         .distinct()
         .orderBy("lang", "text")
     )

@@ -267,19 +267,43 @@ def test_language(spark):
     assert langid.identify(odd, None).where("lang_pred = 'und'").count() == 5
 
 
+def longest_matches(text, sample):
+    n = i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        i, n = max(j, i + 1), n + 1
+    return n
+
+
 def test_cross_parsing_is_longest_match():
-    m = langid.Model({"a": ["the cat sat on the mat"], "b": ["le chat est la"]})
-    text = "the mat and le chat xyz the the cat"
-    sym, keep = langid.fold(np.frombuffer(text.encode(), np.uint8))
-    for k, sample in enumerate((b"the cat sat on the mat", b"le chat est la")):
-        s, n, i = text.encode(), 0, 0
-        while i < len(s):
-            j = i
-            while j < len(s) and s[i : j + 1] in sample:
-                j += 1
-            i, n = max(j, i + 1), n + 1
-        row = m.column[sym[keep]][None, :]
-        assert m.phrases(row, np.array([row.shape[1]]))[0, k] == n
+    rng = random.Random(3)
+    samples = {
+        "a": "the cat sat on the mat",
+        "b": "le chat est la",
+        "c": "".join(rng.choice("ab") for _ in range(300)),
+        "d": "aaaaa b",
+    }
+    m = langid.Model({k: [v] for k, v in samples.items()})
+    texts = ["the mat and le chat xyz the the cat", "", "a" * 7001, "ab" * 1500 + "z", "q" * 600, "a" * 256, "the cat" * 500]
+    # phrases run over many borders of segments, and repetitions never settle
+    texts += ["".join(rng.choice(abc) for _ in range(n)) for abc in ("ab", "abz", "thecat") for n in (255, 256, 257, 513, 3000)]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    sym, keep = langid.fold(buf)
+    assert keep.all()  # no runs of gaps here
+    for k, lang in enumerate("abcd"):
+        want = [longest_matches(t, samples[lang]) for t in texts]
+        assert langid.phrases(m.tables[k], m.column[sym], sizes).tolist() == want
+
+
+def test_language_sample_is_drawn_from_whole_texts(spark):
+    head = "alpha beta gamma delta " * 400
+    docs = spark.createDataFrame([(i, head + f"zzqq tail number {i} qqzz " * 300, "xx") for i in range(1, 40)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    used = model.column >= 0
+    assert used[26] and used[17]  # z and q stand in the last half only
 
 
 def test_line_dedup(spark):

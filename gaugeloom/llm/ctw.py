@@ -328,8 +328,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     bits_per_byte of the token stream.  Documents whose crc32(id) modulo
     ``folds`` is not ``fold`` are learned from (those without id too); all are
     scored over their whole text.  A null or empty text has one token, its end.
-    Rows that repeat an id are documents of their own.  Nothing learned: the
-    byte probabilities are 1/256 and the base score 0.
+    Rows that repeat an id are documents of their own; rows equal in id and text
+    are scored once and returned as often as they stand, so however many they are
+    no block grows with them.  Nothing learned: the byte probabilities are 1/256
+    and the base score 0.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -349,9 +351,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     terms = words.select(_word_shard(F.col("key"), word_shards, True).alias("shard"), "key", F.col("c").cast("double").alias("value")).unionByName(scored)
     terms = stored(terms, "ctw-terms")
     floor = math.log10(total + 0.5 * (distinct + 1))
-    chars = d.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    row = F.xxhash64("doc_id", "text")
+    alike = d.groupBy(row.alias("row")).agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars"))
+    chars, most = alike.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    dealt = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    # only a table with repeated rows is shuffled once more, to fold them
+    folded = d.groupBy("doc_id", "held_out", "text").agg(F.count("*").alias("times")) if most > 1 else d.withColumn("times", F.lit(1).cast("long"))
+    dealt = folded.withColumn("block", F.pmod(row, F.lit(blocks)).cast("int"))
 
     parts = max(1, -(-blocks // ASKED_AT_ONCE))
 
@@ -401,6 +407,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             {
                 "doc_id": left.column("doc_id"),
                 "held_out": left.column("held_out"),
+                "times": left.column("times"),
                 "n_tokens": pa.array(n_tok.astype(np.int64)),
                 "n_known": pa.array(n_known.astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(n_tok), total, np.int64)),
@@ -411,7 +418,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         )
 
     id_type = d.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+    out = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         run,
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
+        f"doc_id {id_type}, held_out boolean, times long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
     )
+    if most > 1:
+        out = out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return out.drop("times")

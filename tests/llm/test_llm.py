@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -464,8 +465,6 @@ def test_ctw(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["the", "Cat", "sat", "mat", "été"]) for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [None, "", " zzz  qq\n"]
     got = {r["doc_id"]: r for r in ctw.score(docs_of(spark, texts)).collect()}
-    import zlib
-
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))}
     toks = [[*words(lower(t)), None] for t in texts]
     c = Counter(w for i, t in enumerate(toks) if not held[i] for w in t)
@@ -494,6 +493,20 @@ def test_ctw(spark):
     assert ctw.score(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_ctw_folds_repeated_rows(spark):
+    rows = [(None, "the same row again")] * 300 + [(1, "the same row again")] * 40 + [(2, None)] * 3 + [(2, ""), (2, "another")] + [(3, "a third one")]
+    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    # the same text has the same score, whatever its id; null and empty texts are one row four times
+    same = {(r["n_tokens"], r["score"], r["base_score"]) for r in got if r["doc_id"] in (None, 1)}
+    assert len(same) == 1 and {r["n_tokens"] for r in got if r["doc_id"] in (None, 1)} == {5}
+    assert Counter(r["n_tokens"] for r in got if r["doc_id"] == 2) == {1: 4, 2: 1}
+    held = [x for i, x in rows if zlib.crc32(str(i).encode()) % 5 == 1 and i is not None]
+    learned = [x for i, x in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(held) + len(learned) == len(rows)
+    assert {r["train_tokens"] for r in got} == {sum(len(words(x or "")) + 1 for x in learned)}
+
+
 def test_ctw_keeps_every_node(spark):
     rng = random.Random(17)
     letters = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!?"

@@ -32,7 +32,7 @@ from .common import small_batches
 #: Iterations of one recursive query; words that need more go into another one.
 DEPTH = 48
 #: Distinct words that a task remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: Neighbours are taken in the rows' kept order: single-threaded DuckDB keeps the
 #: order of rows, and its joins probe with the state (both set in Codec).

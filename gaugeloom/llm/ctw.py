@@ -108,13 +108,22 @@ class _Counts:
 
 
 class _Distinct:
-    """Distinct keys of what was added; equal keys of different runs fold."""
+    """Distinct keys of what was added; equal keys of different runs fold once what is held has doubled."""
 
     def __init__(self) -> None:
-        self.keys = np.zeros(0, np.int64)
+        self.parts, self.held, self.folded = [], 0, 0
 
     def add(self, keys: np.ndarray) -> None:
-        self.keys = pd.unique(np.concatenate([self.keys, pd.unique(keys)]))
+        self.parts.append(pd.unique(keys))
+        self.held += len(self.parts[-1])
+        if self.held > max(2 * self.folded, HELD):
+            self.fold()
+
+    def fold(self) -> np.ndarray:
+        if len(self.parts) > 1:
+            self.parts = [pd.unique(np.concatenate(self.parts))]
+        self.held = self.folded = len(self.parts[0]) if self.parts else 0
+        return self.parts[0] if self.parts else np.zeros(0, np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,14 +302,15 @@ def _asked(buf: np.ndarray, off: np.ndarray, shards: int, word_shards: int) -> t
     for _, _, part, o in K.runs(buf, off):
         found[0].add(tokens(part, o)[0])
         found[1].add(grams(part, o)[0].view(np.int64))
-    keys = np.concatenate([f.keys for f in found])
-    shard = np.concatenate([_word_shard(found[0].keys, word_shards), _gram_shard(found[1].keys, shards)])
+    word_keys, gram_keys = (f.fold() for f in found)
+    keys = np.concatenate([word_keys, gram_keys])
+    shard = np.concatenate([_word_shard(word_keys, word_shards), _gram_shard(gram_keys, shards)])
     order = np.lexsort((keys, shard))
     return shard[order], keys[order]
 
 
 def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Requests (shard, block, keys) and a shard's terms (key, value) -> (block, shard, data); unknown keys are 0."""
+    """Requests (shard, block, keys) and a shard's terms (key, value) -> (block, shard, keys, data); unknown keys are 0."""
     order = np.argsort(right.column("key").to_numpy())
     key = np.append(right.column("key").to_numpy()[order], np.iinfo(np.int64).max)
     value = np.append(right.column("value").to_numpy()[order], 0.0)
@@ -309,7 +319,7 @@ def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = _unpack(asked.as_py())
         at = np.searchsorted(key, keys)
         data.append(np.where(key[at] == keys, value[at], 0.0).tobytes())
-    return pa.table({"block": left.column("block"), "shard": left.column("shard"), "data": pa.array(data, pa.binary())})
+    return pa.table({"block": left.column("block"), "shard": left.column("shard"), "keys": left.column("keys"), "data": pa.array(data, pa.binary())})
 
 
 def gram_scores(counts: DataFrame, shards: int) -> DataFrame:
@@ -377,14 +387,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     requests = dealt.groupBy("block").applyInArrow(vocabulary, "shard long, part int, block int, keys binary")
     copies = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    known = requests.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_answer, "block int, shard long, data binary")
+    known = requests.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_answer, "block int, shard long, keys binary, data binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         buf, off = K.utf8(left.column("text"))
-        shard, key = _asked(buf, off, shards, word_shards)
-        order = np.argsort(right.column("shard").to_numpy())
-        value = np.concatenate([np.frombuffer(right.column("data")[int(i)].as_buffer()) for i in order])
-        is_gram = shard >= 0
+        # the answers name their keys, so the block's vocabulary is not gathered again
+        asked = [_unpack(k.as_py()) for k in right.column("keys")]
+        key = np.concatenate(asked)
+        value = np.concatenate([np.frombuffer(x.as_buffer()) for x in right.column("data")])
+        is_gram = np.repeat(right.column("shard").to_numpy() >= 0, [len(k) for k in asked])
         index, count = pd.Index(key[~is_gram]), np.append(value[~is_gram], 0)
         order = np.argsort(key[is_gram])
         gram_at, gram_value = key[is_gram][order], value[is_gram][order]

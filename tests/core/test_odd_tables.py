@@ -23,7 +23,7 @@ LINES = """SELECT k::BIGINT AS l_orderkey, line::INT AS l_linenumber, part::BIGI
 FROM (VALUES (1, 7, 5, 'F'), (1, 7, 5, 'O'), (2, 7, 5, 'O'), (2, 7, 5, 'F'), (3, 1, 5, 'F'), (3, 7, 5, NULL), (3, 2, 5, 'O'), (4, 7, NULL, 'O'), (4, 1, 1, 'F'), (5, 1, 1, NULL), (NULL, 1, 1, 'O')) v(k, line, part, status)"""
 
 
-@pytest.mark.parametrize("name", ["fidelity_strict"])
+@pytest.mark.parametrize("name", ["fidelity_strict", "fidelity_summary_grouping_sets"])
 def test_fidelity_with_ties_and_nulls(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, orders=ORDERS, lineitem=LINES)
     assert got == want

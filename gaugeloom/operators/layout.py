@@ -6,12 +6,12 @@ page, not of the corpus.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import NUMBER
+from .batches import columns, fold_groups, number
 
 DATE = r"^[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}$"
 TIME = r"^[0-9]{1,2}:[0-9]{2}$"
@@ -87,28 +87,42 @@ def schema_map(leaves: DataFrame, by: list[str], schema: list[str]) -> DataFrame
 
     A leaf with a schema label anchors it.  A schema column between two anchors
     takes the nearest free leaf to its interpolated place, from left to right.
-    Columns outside the anchors stay unplaced: order alone is no evidence.
+    Columns outside the anchors stay unplaced: order alone is no evidence.  A
+    leaf without x can only be an anchor, and nothing is placed beside it.
     """
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "label"], kind="stable")
-        labels, xs = pdf["label"].tolist(), pdf["x"].to_numpy(float)
-        owner: dict[int, int] = {}
-        for j, name in enumerate(schema):
-            if name in labels:
-                owner[j] = labels.index(name)
-        if owner:
-            for j in range(min(owner), max(owner) + 1):
-                free = np.setdiff1d(np.arange(len(xs)), list(owner.values()))
-                if j in owner or not len(free):
+    def place(table: pa.Table, bounds: list[int]) -> pa.Table:
+        labels, xs = table.column("label").to_pylist(), table.column("x").to_pylist()
+        leaf: list[int] = []
+        column: list[int] = []
+        for lo, end in zip(bounds, bounds[1:], strict=False):
+            owner: dict[int, int] = {}
+            for i in range(lo, end):
+                if labels[i] in known and known[labels[i]] not in owner:
+                    owner[known[labels[i]]] = i
+            if not owner:
+                continue
+            free = [i for i in range(lo, end) if xs[i] is not None and i not in owner.values()]
+            left = min(owner)
+            for j in range(left, max(owner) + 1):
+                if j in owner:
+                    left = j
                     continue
-                known = sorted(owner)
-                target = np.interp(j, known, [xs[owner[k]] for k in known])
-                owner[j] = int(free[np.abs(xs[free] - target).argmin()])
-        rows = sorted(owner.items())
-        head = {c: [pdf[c].iloc[0]] * len(rows) for c in by}
-        return pd.DataFrame(head | {"column": [schema[j] for j, _ in rows], "label": [labels[i] for _, i in rows], "x": [xs[i] for _, i in rows]}, dtype=object)
-
-    part = leaves.select(*by, "label", F.col("x").cast("double").alias("x"))
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.select(*by).schema)
-    return part.groupBy(*by).applyInPandas(place, f"{keys}, `column` string, label string, x double")
+                right = min(k for k in owner if k > j)
+                if not free or xs[owner[left]] is None or xs[owner[right]] is None:
+                    continue
+                a, z = xs[owner[left]], xs[owner[right]]
+                target = (z - a) / (right - left) * (j - left) + a
+                owner[j] = min(free, key=lambda i: abs(xs[i] - target))
+                free.remove(owner[j])
+                left = j
+            for j in sorted(owner):
+                leaf.append(owner[j])
+                column.append(j)
+        out = table.select([*by, "label", "x"]).take(pa.array(leaf, pa.int64()))
+        return out.add_column(len(by), "column", pa.array(schema, pa.string()).take(pa.array(column, pa.int64())))
+
+    known = {name: j for j, name in reversed(list(enumerate(schema)))}
+    part = leaves.select(*by, F.col("label").cast("string").alias("label"), number("x").alias("x"))
+    order = [F.col(c).asc_nulls_last() for c in ("x", "label")]
+    return fold_groups(part, by, order, place, f"{columns(part, by)}, `column` string, label string, x double")

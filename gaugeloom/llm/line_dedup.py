@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 from .common import bounded, cut, stored
 
 MIN_SITES, MARGIN = 5, 0.2
+#: Unicode's space separators (Zs), as the SQL's trim takes them.
+SPACES = "\u0020\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _trim(line: Column) -> Column:
+    return F.trim(line, F.lit(SPACES))
+
+
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes (xxhash64 of the trimmed line) of the lines to remove: (line).
 
@@ -31,7 +37,7 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
         F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
         F.xxhash64(text).alias("t1"),
         F.xxhash64(F.lit(1), text).alias("t2"),
-        F.array_distinct(F.transform(F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"),
+        F.array_distinct(F.transform(F.filter(F.transform(_lines(text), lambda x: _trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x))).alias("lines"),
     )
     folded = stored(d.groupBy("t1", "t2").agg(F.min("site").alias("site"), F.first("lines").alias("lines")).select("site", "lines"), "line-sites")
     held = folded.select("site", F.explode("lines").alias("line"))
@@ -65,12 +71,12 @@ def drop_boilerplate(
     base = docs.select(*[F.col(f"`{c}`") for c in names])
     keyed = base.select(
         F.col(id_col).alias("__id"),
-        F.explode(F.array_distinct(F.transform(_lines(F.col(text_col).cast("string")), lambda x: F.xxhash64(F.trim(x))))).alias("line"),
+        F.explode(F.array_distinct(F.transform(_lines(F.col(text_col).cast("string")), lambda x: F.xxhash64(_trim(x))))).alias("line"),
     )
     hit = keyed.join(bounded(cut(lines)), "line").groupBy("__id").agg(F.collect_set("line").alias("__removed"))
     joined = base.join(hit, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     cleaned = F.filter(
-        _lines(F.col(text_col).cast("string")), lambda x: ~F.array_contains(F.col("__removed"), F.xxhash64(F.trim(x)))
+        _lines(F.col(text_col).cast("string")), lambda x: ~F.array_contains(F.col("__removed"), F.xxhash64(_trim(x)))
     )
     out = joined.withColumn("__kept", F.when(F.col("__removed").isNull(), _lines(F.col(text_col).cast("string"))).otherwise(cleaned))
     return out.select(

@@ -4,7 +4,7 @@ Each task cuts its texts into words by the tokenizer's pattern, gives every new
 distinct word's bytes to DuckDB as token-position rows, and lets one recursive
 query join them with the merge table and contract each word's leftmost
 minimum-rank pair until none is left.  Decoding joins ids with the vocabulary and
-concatenates by an ordered aggregation.  No text is shuffled.
+concatenates the pieces in their kept order.  No text is shuffled.
 
 The vocabulary is read on the driver from a rank file and sent to the tasks; its
 size is fixed by the tokenizer, not by the data.
@@ -34,29 +34,28 @@ DEPTH = 48
 #: Distinct words that a task remembers between batches.
 REMEMBERED = 400_000
 
+#: A word without a pair to merge is marked as done by one more iteration.
 #: Neighbours are taken in the rows' kept order: single-threaded DuckDB keeps the
 #: order of rows, and its joins probe with the state (both set in Codec).
 ENCODE = f"""
 WITH RECURSIVE state AS (
-  SELECT w, pos, tok, 0 AS it FROM base
+  SELECT w, pos, tok, 0 AS it, false AS done FROM base
   UNION ALL
   (WITH pairs AS MATERIALIZED (
      SELECT s.*, m.rank AS merged, m.rank::BIGINT * 4294967296 + s.pos AS key
      FROM (SELECT w, pos, tok, it, CASE WHEN lead(w) OVER () = w THEN lead(tok) OVER () END AS nxt
-           FROM state WHERE it < {DEPTH}) s
+           FROM state WHERE it < {DEPTH} AND NOT done) s
      LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt),
-   lowest AS (SELECT w, min(key) AS best FROM pairs WHERE key IS NOT NULL GROUP BY w)
-   SELECT w, pos, CASE WHEN hit THEN merged ELSE tok END, it + 1
+   lowest AS (SELECT w, min(key) AS best FROM pairs GROUP BY w)
+   SELECT w, pos, CASE WHEN hit THEN merged ELSE tok END, it + 1, done
    FROM (SELECT *, coalesce(lag(hit) OVER (), false) AS gone
-         FROM (SELECT p.*, coalesce(p.key = b.best, false) AS hit FROM pairs p JOIN lowest b ON b.w = p.w))
+         FROM (SELECT p.*, coalesce(p.key = b.best, false) AS hit, b.best IS NULL AS done FROM pairs p JOIN lowest b ON b.w = p.w))
    WHERE NOT gone))
-SELECT s.w, s.pos, s.tok, s.it FROM state s
-JOIN (SELECT w, max(it) AS last FROM state GROUP BY w) l ON s.w = l.w
-WHERE s.it = l.last ORDER BY s.w, s.pos
+SELECT w, pos, tok, done FROM state WHERE done OR it = {DEPTH} ORDER BY w, pos
 """
 
 DECODE = """
-SELECT p.doc, array_to_string(list(v.piece ORDER BY p.pos), '') AS text
+SELECT p.doc, string_agg(v.piece, '') AS text
 FROM positions p JOIN vocabulary v ON v.tok = p.tok GROUP BY p.doc ORDER BY p.doc
 """
 
@@ -183,8 +182,7 @@ class Codec:
                 pos = np.arange(len(w)) - np.searchsorted(w, w, side="left")
                 self.con.register("base", pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok}))
                 out = self.con.sql(ENCODE).to_arrow_table()
-                w, tok, it = (out.column(c).to_numpy() for c in ("w", "tok", "it"))
-                done = it < DEPTH
+                w, tok, done = (out.column(c).to_numpy() for c in ("w", "tok", "done"))
                 ended = w[done]
                 if len(ended):
                     ids, lo, num = np.unique(ended, return_index=True, return_counts=True)
@@ -225,7 +223,7 @@ class Codec:
         return ids, np.concatenate([[0], ends])[first]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-        """The bytes of each document, by an ordered aggregation."""
+        """The bytes of each document, by an aggregation of rows in their kept order."""
         n = len(bounds) - 1
         doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
         self.con.register("positions", pa.table({"doc": doc, "pos": np.arange(len(ids), dtype=np.int32), "tok": ids}))

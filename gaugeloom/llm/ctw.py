@@ -33,8 +33,8 @@ from . import textkernel as K
 from .common import remainder, small_batches, stored
 
 DEPTH = 5
-#: A task hands over its counts when it holds so many.
-HELD = 700_000
+#: A task hands over its counts when it holds more than so many, folded.
+HELD = 1_000_000
 #: Bytes of text whose grams are counted at once; equal grams fold.
 RUN = 4 << 20
 #: Characters of text that one block of the scoring join holds, about.
@@ -48,80 +48,125 @@ ASKED_AT_ONCE = 512
 END_BYTE = 10
 END_KEY = -1
 U64 = np.uint64
+#: A gram has 8 * (DEPTH + 1) = 48 bits; the others number the documents of a run.
+DOC_BITS = 64 - 8 * (DEPTH + 1)
+_SPACED = np.where(K.SPACE, 0x20, K.LOWER).astype(np.uint8)
 
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes (int64) of a run and the first token of each document."""
-    starts, stops, doc = K.word_spans(buf, off)
-    keys = K.word_hashes(buf, starts, stops).view(np.int64)
+def stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts' token stream, and each document's first.
+
+    The stream has the words, A-Z as a-z, one space between words and one end
+    byte.  No word has an end byte.
+    """
+    # a space follows each text, then each word keeps the one that ends it
+    ends = off[1:] + np.arange(len(off) - 1)
+    text = np.insert(_SPACED[buf], off[1:], 0x20)
+    kept = text != 0x20
+    kept[1:] |= kept[:-1].copy()
+    sizes = np.add.reduceat(kept, np.append(0, ends[:-1] + 1), dtype=np.int64) if len(ends) else ends
+    kept[ends[sizes == 0]] = True
+    first = np.concatenate([[0], np.cumsum(np.maximum(sizes, 1))])
+    out = text[kept]
+    out[first[1:] - 1] = END_BYTE
+    return out, first
+
+
+def tokens(out: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes (int64) of a stream and the first token of each document."""
+    stops = np.flatnonzero((out == 0x20) | (out == END_BYTE))
+    starts = np.append(0, stops + 1)[:-1]
+    word = starts < stops
+    starts, stops = starts[word], stops[word]
+    keys = K.span_hashes(out, starts, stops).view(np.int64)
     keys[keys == END_KEY] = 0
-    return keys, np.searchsorted(doc, np.arange(len(off)))
+    return keys, np.searchsorted(starts, first)
 
 
-def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(DEPTH+1)-grams of the texts' token stream, and each document's first.
+def codes(out: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(DEPTH+1)-grams of a stream.
 
-    The stream has the words, A-Z as a-z, one space between words and one end
-    byte.  A gram is the context (latest byte lowest) times 256 plus the byte;
-    before the first byte stand end bytes.
+    A gram is the context (latest byte lowest) times 256 plus the byte; before
+    the first byte stand end bytes.
     """
-    starts, stops, doc = K.word_spans(buf, off)
-    n = len(off) - 1
-    words = np.bincount(doc, minlength=n)
-    sizes = np.bincount(doc, stops - starts, minlength=n).astype(np.int64) + np.maximum(words, 1)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.full(first[-1], 0x20, np.uint8)
-    out[first[1:] - 1] = END_BYTE
-    lens = stops - starts
-    # where each word begins: after the words of its document before it
-    ends = np.cumsum(lens + 1)
-    before = np.concatenate([[0], ends])
-    at_doc = before[np.searchsorted(doc, np.arange(n))]
-    begin = before[:-1] - at_doc[doc] + first[:-1][doc]
-    inner = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-    out[np.repeat(begin, lens) + inner] = K.LOWER[buf[np.repeat(starts, lens) + inner]]
-    at = np.arange(len(out)) - np.repeat(first[:-1], sizes)
-    code = out.astype(U64)
-    for k in range(1, DEPTH + 1):
-        back = np.full(len(out), END_BYTE, U64)
-        back[k:] = np.where(at[k:] >= k, out[:-k], END_BYTE)
-        code |= back << U64(8 * k)
-    return code, first
+    padded = np.concatenate([np.full(7, END_BYTE, np.uint8), out])
+    code = np.ndarray(len(out), np.dtype(">u8"), padded, strides=(1,)).astype(U64)
+    code &= U64((1 << 8 * (DEPTH + 1)) - 1)
+    # the first bytes of a document have end bytes instead of what stands before it
+    at = first[:-1, None] + np.arange(DEPTH)
+    own = at < first[1:, None]
+    own_bits = np.broadcast_to(U64(8) * np.arange(1, DEPTH + 1, dtype=U64), at.shape)[own]
+    at, low = at[own], (U64(1) << own_bits) - U64(1)
+    code[at] = code[at] & low | U64(int.from_bytes(bytes([END_BYTE] * (DEPTH + 1)))) & ~low
+    return code
+
+
+def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of the texts' token stream, and each document's first."""
+    out, first = stream(buf, off)
+    return codes(out, first), first
+
+
+def _runs(buf: np.ndarray, off: np.ndarray, size: int = K.RUN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs as of ``K.runs``, whose documents have numbers of DOC_BITS bits."""
+    for a in range(0, len(off) - 1, 1 << DOC_BITS):
+        some = off[a : a + (1 << DOC_BITS) + 1]
+        for i, j, part, o in K.runs(buf[some[0] : some[-1]], some - some[0], size):
+            yield a + i, a + j, part, o
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """The first place of each key in sorted keys."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
 
 
 class _Counts:
+    """Keys and how often they were added; equal keys of different runs fold once what is held has doubled."""
+
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.held = self.folded = 0
 
     def add(self, keys: np.ndarray, times: int = 1) -> None:
-        codes, distinct = pd.factorize(keys)
-        self.parts.append((distinct, times * np.bincount(codes, minlength=len(distinct))))
-        self.size += len(distinct)
+        keys.sort()
+        at = _starts(keys)
+        self.parts.append((keys[at], times * np.diff(np.append(at, len(keys)))))
+        self.held += len(at)
+        if self.held > max(2 * self.folded, HELD):
+            self.fold()
+
+    def fold(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = _starts(keys)
+        self.parts = [(keys[at], np.add.reduceat(n[order], at))]
+        self.held = self.folded = len(at)
 
     def take(self, kind: int) -> pa.RecordBatch:
-        keys = np.concatenate([p[0] for p in self.parts])
-        codes, distinct = pd.factorize(keys)
-        n = np.bincount(codes, np.concatenate([p[1] for p in self.parts]), len(distinct)).astype(np.int64)
+        self.fold()
+        keys, n = self.parts[0]
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind, np.int32)), pa.array(distinct), pa.array(n)], names=["kind", "key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
 
 class _Distinct:
-    """Distinct keys of what was added; equal keys of different runs fold once what is held has doubled."""
+    """Sorted distinct keys of what was added; equal keys of different runs fold once what is held has doubled."""
 
     def __init__(self) -> None:
         self.parts, self.held, self.folded = [], 0, 0
 
     def add(self, keys: np.ndarray) -> None:
-        self.parts.append(pd.unique(keys))
+        keys.sort()
+        self.parts.append(keys[_starts(keys)])
         self.held += len(self.parts[-1])
         if self.held > max(2 * self.folded, HELD):
             self.fold()
 
     def fold(self) -> np.ndarray:
         if len(self.parts) > 1:
-            self.parts = [pd.unique(np.concatenate(self.parts))]
+            keys = np.sort(np.concatenate(self.parts))
+            self.parts = [keys[_starts(keys)]]
         self.held = self.folded = len(self.parts[0]) if self.parts else 0
         return self.parts[0] if self.parts else np.zeros(0, np.int64)
 
@@ -136,12 +181,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in (False, True):
             buf, off = K.utf8(batch.column(1).filter(pc.equal(batch.column(0), out)))
             for _, _, part, o in K.runs(buf, off, RUN):
+                spelled = stream(part, o)
                 if not out:
-                    words, _ = tokens(part, o)
+                    words, _ = tokens(*spelled)
                     held[0].add(np.concatenate([words, np.full(len(o) - 1, END_KEY, np.int64)]))
-                held[1].add(grams(part, o)[0].view(np.int64), 0 if out else 1)
+                held[1].add(codes(*spelled).view(np.int64), 0 if out else 1)
                 for kind, c in enumerate(held):
-                    if c.size > HELD:
+                    if c.folded > HELD:
                         yield c.take(kind)
     for kind, c in enumerate(held):
         if c.parts:
@@ -300,12 +346,15 @@ def _asked(buf: np.ndarray, off: np.ndarray, shards: int, word_shards: int) -> t
     found = (_Distinct(), _Distinct())
     found[0].add(np.array([END_KEY], np.int64))
     for _, _, part, o in K.runs(buf, off):
-        found[0].add(tokens(part, o)[0])
-        found[1].add(grams(part, o)[0].view(np.int64))
+        spelled = stream(part, o)
+        found[0].add(tokens(*spelled)[0])
+        found[1].add(codes(*spelled).view(np.int64))
     word_keys, gram_keys = (f.fold() for f in found)
     keys = np.concatenate([word_keys, gram_keys])
     shard = np.concatenate([_word_shard(word_keys, word_shards), _gram_shard(gram_keys, shards)])
-    order = np.lexsort((keys, shard))
+    # each kind's keys are in order already; 16-bit numbers are sorted by radix
+    shard_no = shard + word_shards
+    order = np.argsort(shard_no.astype(np.uint16) if shards + word_shards <= 1 << 16 else shard_no, kind="stable")
     return shard[order], keys[order]
 
 
@@ -401,18 +450,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         gram_at, gram_value = key[is_gram][order], value[is_gram][order]
         n_tok, n_known, base, score, size = [], [], [], [], []
         end = count[index.get_indexer([END_KEY])[0]]
-        for i, j, part, o in K.runs(buf, off):
-            keys, first = tokens(part, o)
+        for i, j, part, o in _runs(buf, off):
+            spelled = stream(part, o)
+            keys, first = tokens(*spelled)
             c = count[index.get_indexer(keys)]
             doc = np.repeat(np.arange(j - i), np.diff(first))
             n_tok.append(np.diff(first) + 1)
             n_known.append(np.bincount(doc, c > 0, j - i).astype(np.int64) + int(end > 0))
             base.append(np.bincount(doc, np.log10(c + 0.5), j - i) + math.log10(end + 0.5) - n_tok[-1] * floor)
-            code, at = grams(part, o)
-            which, unique = pd.factorize(code.view(np.int64))
-            each = gram_value[np.searchsorted(gram_at, unique)][which]
-            size.append(np.diff(at))
-            score.append(np.bincount(np.repeat(np.arange(j - i), size[-1]), each, j - i))
+            size.append(np.diff(spelled[1]))
+            # grams with their documents in the lowest bits: sorted, equal grams stand together and are looked up once
+            pairs = codes(*spelled) << U64(DOC_BITS) | np.repeat(np.arange(j - i, dtype=U64), size[-1])
+            pairs.sort()
+            gram = (pairs >> U64(DOC_BITS)).view(np.int64)
+            place = _starts(gram)
+            value_of = gram_value[np.searchsorted(gram_at, gram[place])]
+            each = np.repeat(value_of, np.diff(np.append(place, len(gram))))
+            score.append(np.bincount((pairs & U64((1 << DOC_BITS) - 1)).view(np.int64), each, j - i))
         n_tok, n_known, base, score, size = (np.concatenate(x) if x else np.zeros(0) for x in (n_tok, n_known, base, score, size))
         return pa.table(
             {
